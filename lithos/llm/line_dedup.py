@@ -9,19 +9,22 @@ from ._store import fresh, materialize
 
 #: Share of a host's pages from which a line is boilerplate, and the pages it takes at least.
 RATIO, LEAST, SMALL = 0.05, 10, 100_000
-BLANK = r"[\x20\x09-\x0D]+"
+#: A run of blanks within a line that is not a single space.
+_odd = r"\x20*[\t\x0B\f\r][\x20\t\x0B\f\r]*|\x20{2,}"
 
 
-def normalised(line: Column) -> Column:
-    """A line for comparison: A-Z lower-cased, runs of ASCII blanks one space, none at the ends."""
-    lower = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.trim(F.regexp_replace(lower, BLANK, " "))
+def plain_lines(text: Column) -> Column:
+    """The lines of a text for comparison: lower case, runs of ASCII blanks one space, none at the ends; empty ones stay.
+
+    The text is normalised as a whole before it is split, and only runs that
+    differ from a single space are touched.
+    """
+    return F.transform(F.split(F.regexp_replace(F.lower(text), _odd, " "), "\n", -1), lambda line: F.trim(line))
 
 
-def line_hash(line: Column) -> Column:
-    """Hash of a normalised line; null for a line without a word."""
-    plain = normalised(line)
-    return F.when(plain != "", F.xxhash64(plain))
+def line_hashes(text: Column) -> Column:
+    """A hash for each line of a text; null for a line without a word."""
+    return F.transform(plain_lines(text), lambda line: F.when(line != "", F.xxhash64(line)))
 
 
 def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
@@ -32,7 +35,7 @@ def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text
     one host; null texts are empty pages and count as one page.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    lines = F.array_compact(F.array_distinct(F.transform(F.split(text, "\n", -1), line_hash)))
+    lines = F.array_compact(F.array_distinct(line_hashes(text)))
     # a line of each page stands for the page itself in the totals
     pages = docs.select(F.col(host_col).alias("host"), F.xxhash64(text, F.length(text)).alias("page"), F.explode(F.concat(lines, F.array(F.lit(None).cast("long")))).alias("line"))
     counts = pages.distinct().groupBy("host", "line").agg(F.count("*").alias("n"))
@@ -58,18 +61,21 @@ def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str =
     if found.count() <= SMALL:
         by_host = F.broadcast(by_host)
     rows = docs.join(by_host, docs[host_col].eqNullSafe(by_host[host]), "left")
-    lines = F.split(F.col(text_col), "\n", -1)
-    dropped = lambda line: F.coalesce(F.array_contains(drop, line_hash(line)), F.lit(False))
-    kept = F.filter(lines, lambda line: ~dropped(line))
-    touched = F.col(drop).isNotNull() & F.exists(lines, dropped)
-    text = F.when(touched, F.array_join(kept, "\n")).otherwise(F.col(text_col))
-    new = {text_col: text}
+    safe = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    done = fresh(docs, "_done")
+
+    def judged(z: Column) -> Column:
+        kept = F.filter(z, lambda x: ~F.coalesce(F.array_contains(drop, x["h"]), F.lit(False)))
+        return F.struct(F.size(z).alias("n"), F.size(F.filter(z, lambda x: x["h"].isNotNull())).alias("worded"), F.size(kept).alias("left"), F.array_join(F.transform(kept, lambda x: x["line"]), "\n").alias("text"))
+
+    pairs = F.arrays_zip(F.split(safe, "\n", -1).alias("line"), line_hashes(safe).alias("h"))
+    found = F.transform(F.array(pairs), judged)[0]
+    rows = rows.withColumn(done, found if extra else F.when(F.col(drop).isNotNull(), found))
+    touched = F.coalesce(F.col(done)["left"] < F.col(done)["n"], F.lit(False))
+    new = {text_col: F.when(touched, F.col(done)["text"]).otherwise(F.col(text_col))}
     if chars_col in docs.columns:
-        new[chars_col] = F.when(touched, F.length(F.array_join(kept, "\n"))).otherwise(F.col(chars_col))
+        new[chars_col] = F.when(touched, F.length(F.col(done)["text"])).otherwise(F.col(chars_col))
     cols = [new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col(c) for c in docs.columns]
     if extra:
-        worded = lambda line: line_hash(line).isNotNull()
-        count = lambda a: F.coalesce(F.size(a).cast("long"), F.lit(0)).cast("long")
-        safe = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-        cols += [count(F.filter(safe, worded)).alias("n_lines"), F.when(F.col(drop).isNull(), 0).otherwise(count(F.filter(safe, dropped))).cast("long").alias("n_dropped")]
+        cols += [F.col(done)["worded"].cast("long").alias("n_lines"), (F.col(done)["n"] - F.col(done)["left"]).cast("long").alias("n_dropped")]
     return rows.select(*cols)

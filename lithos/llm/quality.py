@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._store import fresh, materialize
-from .line_dedup import line_hash, normalised
+from .line_dedup import plain_lines
 
 BLANK = r"[\x20\x09-\x0D]+"
 #: A line is common beyond this share of a host's documents and this many; a document is depleted below this share of its words.
@@ -55,7 +55,7 @@ def measures(text: Column) -> Column:
         F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
         lambda x: F.struct(
             (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-            F.transform(x, lambda line: F.struct(line_hash(line).alias("line"), (F.length(normalised(line)) - F.length(F.replace(normalised(line), F.lit(" "))) + 1).alias("n"))).alias("lines"),
+            F.transform(F.filter(plain_lines(text), lambda line: line != ""), lambda line: F.struct(F.xxhash64(line).alias("line"), (F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1).alias("n"))).alias("lines"),
         ),
     )
     return F.struct(own.alias("own"), symbols.cast("long").alias("n_symbols"), lines.alias("by_line"))

@@ -50,7 +50,7 @@ g3 AS (SELECT r, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM g),
 twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM g3) WHERE n > 1),
 rep AS (SELECT r, count(DISTINCT i + o) AS n_repeat_words FROM twice, (VALUES (0), (1), (2)) v(o) GROUP BY r),
 l AS (SELECT r, host, text, unnest(string_split(text, chr(10))) AS line FROM d),
-lw AS (SELECT r, host, text, line, trim(regexp_replace(translate(line, '{_U}', '{_L}'), '{_B}', ' ', 'g')) AS plain FROM l WHERE regexp_matches(line, '{_W}')),
+lw AS (SELECT r, host, text, line, trim(regexp_replace(lower(line), '{_B}', ' ', 'g')) AS plain FROM l WHERE regexp_matches(line, '{_W}')),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM lw GROUP BY r),
 total AS (SELECT host, count(DISTINCT text) AS total FROM d GROUP BY host),
 often AS (SELECT lw.host, plain FROM lw JOIN total ON lw.host IS NOT DISTINCT FROM total.host GROUP BY lw.host, plain, total HAVING count(DISTINCT text) >= {quality.LEAST} AND count(DISTINCT text) > {quality.SHARE} * total),
@@ -119,7 +119,7 @@ FROM r LEFT JOIN fit USING (r) LEFT JOIN scores ON r.host = scores.host
 _LINES = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source AS host, text, coalesce(text, '') AS safe FROM documents),
 l AS (SELECT r, host, safe, unnest(string_split(safe, chr(10))) AS line, generate_subscripts(string_split(safe, chr(10)), 1) AS i FROM d),
-lw AS (SELECT *, trim(regexp_replace(translate(line, '{_U}', '{_L}'), '{_B}', ' ', 'g')) AS plain FROM l),
+lw AS (SELECT *, trim(regexp_replace(lower(line), '{_B}', ' ', 'g')) AS plain FROM l),
 total AS (SELECT host, count(DISTINCT safe) AS total FROM d GROUP BY host),
 often AS (SELECT lw.host, plain FROM lw JOIN total ON lw.host IS NOT DISTINCT FROM total.host WHERE plain <> '' GROUP BY lw.host, plain, total HAVING count(DISTINCT safe) >= {line_dedup.LEAST} AND count(DISTINCT safe) > {line_dedup.RATIO} * total),
 x AS (SELECT lw.*, o.plain IS NOT NULL AS gone FROM lw LEFT JOIN often o ON o.plain = lw.plain AND o.host IS NOT DISTINCT FROM lw.host),
