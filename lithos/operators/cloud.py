@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vec as v
 from ..store import checkpointed
@@ -18,7 +19,7 @@ ROLES = ("measurement", "display", "distance-a", "distance-b")
 PERCENTILES = (50, 95, 98, 99)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical(x: pd.Series) -> pd.Series:
     """Seventeen significant digits as Python prints them; minus zero is 0. The JVM's digits differ."""
     return pd.Series(["0" if n == 0 else format(n, ".17g") for n in x])

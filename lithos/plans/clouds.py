@@ -11,7 +11,6 @@ from ..operators import boxes, cloud
 from ..registry import query, table
 
 XYZ = "vec_id AS idx, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z"
-P = tuple(F.col(c) for c in "xyz")
 MASK = {"frame": "world", "include": [{"type": "aabb", "min": [-1, -1, -1], "max": [1, 1, 1]}, {"type": "sphere", "center": [0, 0, 0], "radius": 1.5}], "exclude": [{"type": "sphere", "center": [0.2, 0.1, 0], "radius": 0.4}]}
 MASK_SQL = "((x BETWEEN -1 AND 1 AND y BETWEEN -1 AND 1 AND z BETWEEN -1 AND 1) OR sqrt(x*x + y*y + z*z) <= 1.5) AND NOT sqrt((x-0.2)*(x-0.2) + (y-0.1)*(y-0.1) + z*z) <= 0.4"
 
@@ -21,13 +20,17 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"), *[e[i].cast("double").alias(c) for i, c in enumerate("xyz")], e[3].cast("double").alias("u"), e[4].cast("double").alias("w"), e[5].cast("double").alias("t"))
 
 
+def xyz() -> v.Vec:
+    return tuple(F.col(c) for c in "xyz")
+
+
 def near(x: object, digits: int = 6):  # noqa: ANN201
     """Rounded, without a minus zero."""
     return F.round(x, digits) + F.lit(0.0)
 
 
 def sql_near(x: str, digits: int = 6) -> str:
-    return f"round({x}, {digits}) + 0.0"
+    return f"round(({x})::DOUBLE, {digits}) + 0.0"
 
 
 @query(f"SELECT count(*) AS n, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z FROM (SELECT {XYZ} FROM embeddings)")
@@ -42,7 +45,7 @@ def cloud_merkle_fingerprint(spark, sf_dir):
 
 @query(f"SELECT idx, x, y, z FROM (SELECT {XYZ} FROM embeddings) WHERE {MASK_SQL}")
 def mask_filter_aabb_sphere(spark, sf_dir):
-    return points(spark, sf_dir).filter(cloud.mask_column(cloud.compile_mask(MASK, "world"), P)).select("idx", "x", "y", "z")
+    return points(spark, sf_dir).filter(cloud.mask_column(cloud.compile_mask(MASK, "world"), xyz())).select("idx", "x", "y", "z")
 
 
 _FMT = " || ' ' || ".join(f"CASE WHEN {c} = 0 THEN '0' ELSE printf('%.17g', {c}) END" for c in "xyz")
@@ -94,7 +97,7 @@ INV = [0.0, 1.0, 0.0, 2.0, -1.0, 0.0, 0.0, 10.0, 0.0, 0.0, 1.0, -0.5, 0.0, 0.0,
 
 @query(f"SELECT idx, {sql_near('10 - y')} AS px, {sql_near('x - 2')} AS py, {sql_near('z + 0.5')} AS pz, {sql_near('-y')} AS dx, {sql_near('x')} AS dy, {sql_near('z')} AS dz FROM (SELECT {XYZ} FROM embeddings)")
 def affine_transform(spark, sf_dir):
-    p, d = v.apply_point(M, P), v.apply_direction(M, P)
+    p, d = v.apply_point(M, xyz()), v.apply_direction(M, xyz())
     return points(spark, sf_dir).select("idx", *[near(x).alias(f"p{c}") for x, c in zip(p, "xyz", strict=True)], *[near(x).alias(f"d{c}") for x, c in zip(d, "xyz", strict=True)])
 
 
@@ -133,7 +136,7 @@ def bbox_overlap_join(spark, sf_dir):
 @query(f"""WITH p AS (SELECT *, sqrt(x*x + y*y + z*z) AS n FROM (SELECT {XYZ} FROM embeddings)), g AS (SELECT *, greatest(abs(x), abs(y), abs(z)) / n AS magnitude FROM p)
 SELECT idx, CASE WHEN abs(x) >= abs(y) AND abs(x) >= abs(z) THEN 'x' WHEN abs(y) >= abs(z) THEN 'y' ELSE 'z' END AS axis, CASE WHEN (CASE WHEN abs(x) >= abs(y) AND abs(x) >= abs(z) THEN x WHEN abs(y) >= abs(z) THEN y ELSE z END) >= 0 THEN 1 ELSE -1 END AS sign, {sql_near('magnitude')} AS magnitude, magnitude >= 0.985 AS aligned FROM g WHERE n > 0""")
 def dominant_axis(spark, sf_dir):
-    a = v.dominant_axis(P)
+    a = v.dominant_axis(xyz())
     return points(spark, sf_dir).select("idx", a.alias("a")).filter("a is not null").select("idx", "a.axis", "a.sign", near("a.magnitude").alias("magnitude"), "a.aligned")
 
 
@@ -144,13 +147,13 @@ _SIX = "vec_id AS idx, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, emb
 @query(f"SELECT idx, CASE WHEN c <= -0.985 THEN 'opposed' WHEN c >= 0.985 THEN 'parallel' WHEN abs(c) <= 1 - 0.985 THEN 'perpendicular' ELSE 'angled' END AS relation, {sql_near('degrees(acos(c))')} AS angle FROM (SELECT idx, {_DOT} AS c FROM (SELECT {_SIX} FROM embeddings))")
 def vector_relationship(spark, sf_dir):
     q = tuple(F.col(c) for c in "uwt")
-    return points(spark, sf_dir).select("idx", v.relationship(P, q).alias("relation"), near(v.angle_degrees(P, q)).alias("angle"))
+    return points(spark, sf_dir).select("idx", v.relationship(xyz(), q).alias("relation"), near(v.angle_degrees(xyz(), q)).alias("angle"))
 
 
 @query(f"SELECT idx, {sql_near('sqrt((x-u)*(x-u)+(y-w)*(y-w)+(z-t)*(z-t))')} AS distance, {sql_near('y*t - z*w')} AS cross_x, {sql_near('x*u + y*w + z*t')} AS dot FROM (SELECT {_SIX} FROM embeddings)")
 def vector_algebra(spark, sf_dir):
     q = tuple(F.col(c) for c in "uwt")
-    return points(spark, sf_dir).select("idx", near(v.length(v.sub(P, q))).alias("distance"), near(v.cross(P, q)[0]).alias("cross_x"), near(v.dot(P, q)).alias("dot"))
+    return points(spark, sf_dir).select("idx", near(v.length(v.sub(xyz(), q))).alias("distance"), near(v.cross(xyz(), q)[0]).alias("cross_x"), near(v.dot(xyz(), q)).alias("dot"))
 
 
 @query(f"SELECT idx, {sql_near('x+y+z+3')} AS trace, true AS ordered FROM (SELECT {XYZ} FROM embeddings)")
@@ -162,7 +165,7 @@ def symmetric_eigenvalues(spark, sf_dir):
 
 @query(f"SELECT idx, {sql_near('cos(z)*cos(y)')} AS m00, {sql_near('-sin(y)')} AS m20, {sql_near('1.0')} AS q_norm FROM (SELECT {XYZ} FROM embeddings)")
 def rpy_rotation(spark, sf_dir):
-    m, q = v.rpy_matrix(*P), v.rpy_quaternion(*P)
+    m, q = v.rpy_matrix(*xyz()), v.rpy_quaternion(*xyz())
     return points(spark, sf_dir).select("idx", near(m[0]).alias("m00"), near(m[6]).alias("m20"), near(v.dot(tuple(q), tuple(q))).alias("q_norm"))
 
 
@@ -197,8 +200,8 @@ def grid(spark: SparkSession, n: int = STEP, lo: float = -1.5, hi: float = 1.5)
 
 @query(f"SELECT i, j, k, {sql_near('sqrt(x*x+y*y+z*z) - 1')} AS sphere, {sql_near('sqrt(pow(sqrt(x*x+y*y)-1,2)+z*z)-0.25')} AS torus, {sql_near('greatest(sqrt(x*x+y*y)-0.5, -z-1, z-1)')} AS cylinder, {sql_near('abs(sqrt(x*x+y*y+z*z)-1) - 0.1')} AS shell FROM ({_GRID})")
 def field_grid(spark, sf_dir):
-    o, s = v.vec(0, 0, 0), fl.sphere(P, v.vec(0, 0, 0), 1)
-    return grid(spark).select("i", "j", "k", near(s).alias("sphere"), near(fl.torus(P, 1, 0.25)).alias("torus"), near(fl.capped_cylinder(P, v.vec(0, 0, -1), v.vec(0, 0, 1), 0.5)).alias("cylinder"), near(fl.shell(s, 0.2)).alias("shell"))
+    o, s = v.vec(0, 0, 0), fl.sphere(xyz(), v.vec(0, 0, 0), 1)
+    return grid(spark).select("i", "j", "k", near(s).alias("sphere"), near(fl.torus(xyz(), 1, 0.25)).alias("torus"), near(fl.capped_cylinder(xyz(), v.vec(0, 0, -1), v.vec(0, 0, 1), 0.5)).alias("cylinder"), near(fl.shell(s, 0.2)).alias("shell"))
 
 
 _AB = f"SELECT i, j, k, sqrt(x*x+y*y+z*z) - 1 AS a, x - 0.3 AS b FROM ({_GRID})"
@@ -208,7 +211,7 @@ _ROUND = "least(-0.2::DOUBLE, greatest(a, b)) + sqrt(pow(greatest(a+0.2,0),2) +
 @query(f"""SELECT i, j, k, {sql_near('greatest(a,b)')} AS sharp, {sql_near(_ROUND)} AS round, {sql_near('greatest(a, b, (a+b+0.2)*sqrt(0.5))')} AS chamfer, {sql_near('0.1*ln(exp(a/0.1)+exp(b/0.1))')} AS exp,
 {sql_near('least(-0.2::DOUBLE, greatest(a, b)) + pow(pow(greatest(a+0.2,0),3) + pow(greatest(b+0.2,0),3), 1/3.0)')} AS norm, {sql_near('least(a,b)')} AS either FROM ({_AB})""")
 def csg_blends(spark, sf_dir):
-    a, b = fl.sphere(P, v.vec(0, 0, 0), 1), F.col("x") - 0.3
+    a, b = fl.sphere(xyz(), v.vec(0, 0, 0), 1), F.col("x") - 0.3
     return grid(spark).select("i", "j", "k", near(F.greatest(a, b)).alias("sharp"), near(fl.both_round(a, b, 0.2)).alias("round"), near(fl.both_chamfer(a, b, 0.2)).alias("chamfer"), near(fl.both_exp(a, b, 0.2)).alias("exp"), near(fl.both_norm(a, b, 0.2, 3)).alias("norm"), near(F.least(a, b)).alias("either"))
 
 
@@ -219,14 +222,14 @@ _T = "2*pi()*"
 {sql_near(f'(2*(cos({_T}x)*cos({_T}y)+cos({_T}y)*cos({_T}z)+cos({_T}z)*cos({_T}x)) - (cos(4*pi()*x)+cos(4*pi()*y)+cos(4*pi()*z)))*3/48', 5)} AS iwp FROM ({_GRID})""")
 def tpms(spark, sf_dir):
     one = (1.0, 1.0, 1.0)
-    return grid(spark).select("i", "j", "k", near(fl.gyroid(P, one), 5).alias("gyroid"), near(fl.schwarz(P, one), 5).alias("schwarz"), near(fl.iwp(P, one), 5).alias("iwp"))
+    return grid(spark).select("i", "j", "k", near(fl.gyroid(xyz(), one), 5).alias("gyroid"), near(fl.schwarz(xyz(), one), 5).alias("schwarz"), near(fl.iwp(xyz(), one), 5).alias("iwp"))
 
 
 @query()
 def periodic_fields(spark, sf_dir):
     """The other surfaces and lattices, of which tests hold values."""
     one, two = (1.0, 1.0, 1.0), (1.0, 0.8)
-    made = {"diamond": fl.diamond(P, one), "lidinoid": fl.lidinoid(P, one), "neovius": fl.neovius(P, one), "split_p": fl.split_p(P, one), "cubic": fl.cubic_grid(P, one), "square": fl.square_honeycomb(P, two), "reinforced": fl.reinforced_honeycomb(P, two), "diagonal": fl.diagonal_honeycomb(P, two), "octet": fl.octet_honeycomb(P, two)}
+    made = {"diamond": fl.diamond(xyz(), one), "lidinoid": fl.lidinoid(xyz(), one), "neovius": fl.neovius(xyz(), one), "split_p": fl.split_p(xyz(), one), "cubic": fl.cubic_grid(xyz(), one), "square": fl.square_honeycomb(xyz(), two), "reinforced": fl.reinforced_honeycomb(xyz(), two), "diagonal": fl.diagonal_honeycomb(xyz(), two), "octet": fl.octet_honeycomb(xyz(), two)}
     return grid(spark).select("i", "j", "k", *[near(c, 9).alias(n) for n, c in made.items()])
 
 
