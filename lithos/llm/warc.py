@@ -250,7 +250,9 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
 
     names = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     kinds = [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.string()]
-    spread = ranges.repartition(F.col("archive"), F.col("first"))
+    # a stated number, for ranges are small rows that adaptive planning would put in one task
+    n = archives.agg(F.coalesce(F.sum(F.ceil(F.col("records") / RANGE)), F.lit(0))).first()[0]
+    spread = ranges.repartition(max(1, min(int(n), 10_000)), F.col("archive"), F.col("first"))
     return spread.mapInArrow(run, "page_id string, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to string")
 
 
