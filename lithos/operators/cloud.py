@@ -70,16 +70,22 @@ def fingerprint(points: DataFrame) -> DataFrame:
 
 
 def merkle_fingerprint(points: DataFrame, chunk: int = 4096) -> DataFrame:
-    """Order-dependent hash of the points: SHA-256 of runs of ``chunk`` points by idx, then of the runs' hashes in order.
+    """Order-dependent hash of the points: SHA-256 of runs of ``chunk`` points by idx, then of runs of hashes, until one is left.
 
-    Runs are hashed in parallel. It is no hash of the points as one stream,
-    and so has a name of its own.
+    Each level is hashed in parallel and no task holds more than ``chunk``
+    rows of a run. It is no hash of the points as one stream, and so has a
+    name of its own. An empty cloud has no row.
     """
+
+    def folded(rows: DataFrame, between: str) -> DataFrame:
+        runs = rows.groupBy(F.floor(F.col("idx") / chunk).alias("run")).agg(F.array_sort(F.collect_list(F.struct("idx", "h"))).alias("rows"))
+        return checkpointed(runs.select(F.col("run").alias("idx"), F.sha2(F.array_join(F.transform("rows", lambda r: r["h"]), between), 256).alias("h")))
+
     text = F.concat_ws(" ", canonical("x"), canonical("y"), canonical("z"))
-    lines = points.select("idx", F.floor(F.col("idx") / chunk).alias("run"), text.alias("line"))
-    runs = lines.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("idx", "line"))).alias("rows"))
-    runs = runs.select("run", F.sha2(F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), 256).alias("h"))
-    return runs.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "h"))), lambda r: r["h"]), ""), 256).alias("merkle"))
+    level = folded(points.select("idx", text.alias("h")), "\n")
+    while level.agg(F.max("idx")).first()[0]:
+        level = folded(level, "")
+    return level.select(F.col("h").alias("merkle"))
 
 
 def rank_column(idx: Column, text: Column, role: str, seed: int) -> Column:

@@ -57,12 +57,14 @@ def hash_rank_sample(spark, sf_dir):
     return cloud.hash_rank_sample(points(spark, sf_dir), 50, "measurement", 7, MASK).select("idx", "rank")
 
 
-_NN = f"WITH p AS (SELECT {XYZ} FROM embeddings), d AS (SELECT a.idx AS q, min(sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z))) AS distance FROM p a, p b WHERE a.idx % 2 = 0 AND b.idx % 2 = 1 GROUP BY a.idx)"
+_NN = f"WITH p AS (SELECT {XYZ} FROM embeddings), t AS (SELECT -y AS x, x AS y, z FROM p), d AS (SELECT a.idx AS q, min(sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z))) AS distance FROM p a, t b GROUP BY a.idx)"
 
 
 def _distances(spark, sf_dir):
+    """From every point of the cloud to the cloud turned by 90 degrees about z."""
     p = points(spark, sf_dir)
-    return cloud.nearest(p.filter("idx % 2 = 0").withColumnRenamed("idx", "q"), p.filter("idx % 2 = 1"), 0.25)
+    turned = p.select((-F.col("y")).alias("x"), F.col("x").alias("y"), "z")
+    return cloud.nearest(p.withColumnRenamed("idx", "q"), turned, 0.25)
 
 
 @query(f"{_NN} SELECT q, {sql_near('distance', 9)} AS distance FROM d")

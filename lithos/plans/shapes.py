@@ -124,22 +124,24 @@ def label_aliases(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", name.alias("alias"))
 
 
-@query("SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN 'added' WHEN b.o_orderkey IS NULL THEN 'removed' ELSE 'moved' END AS change, round(coalesce(b.v, 0) - coalesce(a.v, 0), 2) AS delta FROM (SELECT o_orderkey, o_totalprice AS v FROM orders WHERE o_orderkey % 7 <> 0) a FULL JOIN (SELECT o_orderkey, o_totalprice + (o_orderkey % 5 = 0)::INT AS v FROM orders WHERE o_orderkey % 11 <> 0) b ON a.o_orderkey = b.o_orderkey WHERE a.v IS DISTINCT FROM b.v")
+@query("SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN 'added' WHEN b.o_orderkey IS NULL THEN 'removed' ELSE 'moved' END AS change, round(coalesce(b.v, 0) - coalesce(a.v, 0), 2) AS delta FROM (SELECT o_orderkey, o_totalprice AS v FROM orders) a FULL JOIN (SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN -o_orderkey ELSE o_orderkey END AS o_orderkey, o_totalprice + (o_orderstatus = 'F')::INT AS v FROM orders) b ON a.o_orderkey = b.o_orderkey WHERE a.v IS DISTINCT FROM b.v")
 def manifest_diff(spark, sf_dir):
-    """Rows added, removed and moved between two versions of a table; the second one is made from the first."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("v"))
-    a = o.filter("o_orderkey % 7 <> 0").alias("a")
-    b = o.filter("o_orderkey % 11 <> 0").withColumn("v", F.col("v") + F.when(F.col("o_orderkey") % 5 == 0, 1).otherwise(0)).alias("b")
+    """Rows added, removed and moved between two versions of a table; in the second, urgent orders have new ids and filled ones moved."""
+    o = table(spark, sf_dir, "orders").withColumn("v", F.col("o_totalprice"))
+    renamed = F.when(F.col("o_orderpriority") == "1-URGENT", -F.col("o_orderkey")).otherwise(F.col("o_orderkey"))
+    a = o.select("o_orderkey", "v").alias("a")
+    b = o.select(renamed.alias("o_orderkey"), (F.col("v") + F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)).alias("v")).alias("b")
     j = a.join(b, F.col("a.o_orderkey") == F.col("b.o_orderkey"), "full_outer").filter(~F.col("a.v").eqNullSafe(F.col("b.v")))
     zero = F.lit(0.0)
     return j.select(F.coalesce("a.o_orderkey", "b.o_orderkey").alias("o_orderkey"), F.when(F.col("a.o_orderkey").isNull(), "added").when(F.col("b.o_orderkey").isNull(), "removed").otherwise("moved").alias("change"), F.round(F.coalesce("b.v", zero) - F.coalesce("a.v", zero), 2).alias("delta"))
 
 
-@query("SELECT a.l_orderkey, round(sum(abs(a.l_quantity - b.l_quantity)), 2) AS moved FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2 GROUP BY 1")
+@query("SELECT a.l_orderkey, round(sum(abs(a.l_quantity - b.l_quantity)), 2) AS moved FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 GROUP BY 1")
 def measure_pairs(spark, sf_dir):
+    """Distances between each line of an order and the next one, summed by order."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    a, b = li.filter("l_linenumber = 1").alias("a"), li.filter("l_linenumber = 2").alias("b")
-    return a.join(b, "l_orderkey").groupBy("l_orderkey").agg(F.round(F.sum(F.abs(F.col("a.l_quantity") - F.col("b.l_quantity"))), 2).alias("moved"))
+    a, b = li.alias("a"), li.withColumn("l_linenumber", F.col("l_linenumber") - 1).alias("b")
+    return a.join(b, ["l_orderkey", "l_linenumber"]).groupBy("l_orderkey").agg(F.round(F.sum(F.abs(F.col("a.l_quantity") - F.col("b.l_quantity"))), 2).alias("moved"))
 
 
 _LIMITS = [("FDM", 1.2, 45.0), ("SLS", 0.7, None), ("SLA", 0.5, 30.0), ("metal", 0.4, 45.0), ("MJF", 0.5, None)]

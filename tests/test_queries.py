@@ -145,6 +145,28 @@ def test_closure_ends_on_cycles(spark):
     assert got[1, 1] == 3 and got[1, 4] == 3 and (4, 1) not in got
 
 
+def test_bodies_are_exact(spark):
+    rnd = random.Random(4)
+    links = [(rnd.randrange(60), 100 + rnd.randrange(60)) for _ in range(55)] + [(200 + i, 201 + i) for i in range(20)]
+    name = {n: n for link in links for n in link}
+    while any(name[a] != name[b] for a, b in links):
+        for a, b in links:
+            name[a] = name[b] = min(name[a], name[b])
+    assert {r.node: r.body for r in graph.bodies(spark.createDataFrame(links, "a long, b long")).collect()} == name
+
+
+def test_merkle_of_several_levels(spark):
+    import hashlib
+
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    level = [f"{i} 0 0" for i in range(23)]
+    between = "\n"
+    while len(level) > 1:
+        level, between = [sha(between.join(level[i : i + 3])) for i in range(0, len(level), 3)], ""
+    got = cloud.merkle_fingerprint(spark.range(23).selectExpr("id AS idx", "double(id) AS x", "0D AS y", "0D AS z"), 3)
+    assert [r.merkle for r in got.collect()] == level
+
+
 def test_text_functions(spark):
     rows = spark.createDataFrame([(x,) for x in ("item10", "Item9", "item 2", "item-1", None)], "s string")
     assert [r.s for r in rows.filter("s is not null").orderBy(tx.natural_key("s")).collect()] == ["item 2", "item-1", "Item9", "item10"]
