@@ -238,7 +238,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     units = units.join(similar_groups(docs, text_col, shingle, similarity), "cls", "left").withColumn("root", F.coalesce(F.col("root").cast("string"), F.col("cls")))
     order = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("cls").alias("cls"))
     winners = units.groupBy("root").agg(F.min(order).alias("w"))
-    judged = materialize(units.join(winners, "root").select("id", "cls", "rows", (order == F.col("w")).alias("wins")), "judged")
+    # by the winners themselves, not by group: no key of this join is hotter than another
+    units = units.withColumn(unit, order).join(winners.select(F.col("w").alias(unit), F.lit(True).alias("won")), unit, "left")
+    judged = materialize(units.select("id", "cls", "rows", F.coalesce("won", F.lit(False)).alias("wins")), "judged")
     rows = docs.withColumn(unit, F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.md5(text).alias("cls")))
     keyed = judged.select(order.alias(unit), "rows", "wins")
     lost = keyed.filter(~F.col("wins") | (F.col("rows") > 1)).select(unit)
