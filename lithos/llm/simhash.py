@@ -217,7 +217,7 @@ def similar_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5, si
     pairs = balls.unionByName(same).unionByName(met).filter(bound).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     pairs = materialize(pairs, "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(light, "id").select("id", "cls", "n")
-    texts = _classed(docs, text_col).join(wanted, "cls").dropDuplicates(["cls"])
+    texts = _classed(docs, text_col).dropDuplicates(["cls"]).join(wanted, "cls")
     sets = materialize(shingle_sets(texts, shingle).join(wanted.select("id", "n"), "id"), "shingles")
     left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
