@@ -134,7 +134,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 # ---- whole-text similarity: what the corpus pipeline needs -----------------
 
-BANDS, ROWS = 18, 6
+BANDS, ROWS, SLOTS = 18, 6, 8
 
 
 def _minhash_params(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -193,6 +193,23 @@ def _classed(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.md5(text).alias("cls"), text.alias("text"))
 
 
+def _across(shared: DataFrame, roots: DataFrame, turn: int, fits: Column, ordered: list[Column]) -> DataFrame:
+    """Pairs ``(a, b)`` of texts of a bucket that are not in one group yet: each with the ends of SLOTS parts of the bucket.
+
+    Parts and ends are dealt anew each turn; they are aggregates, so that no
+    bucket comes to one task.
+    """
+    named = shared.select("key", "x").join(roots.select(F.col("node"), "root"), F.col("x.id") == F.col("node"), "left")
+    named = named.select("key", "x", F.coalesce("root", "x.id").alias("root"))
+    mixed = named.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
+    named = materialize(named.join(mixed, "key"), "mixed")
+    at = F.xxhash64("x.id", "key", F.lit(turn))
+    one = F.struct(at.alias("at"), "x", "root")
+    parts = named.groupBy("key", F.pmod(at, F.lit(SLOTS)).alias("part")).agg(F.min(one).alias("lo"), F.max(one).alias("hi"))
+    parts = parts.select("key", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("end")).select("key", F.col("end.x").alias("y"), F.col("end.root").alias("other"))
+    return named.join(parts, "key").filter((F.col("root") != F.col("other")) & fits).select(*ordered).distinct()
+
+
 def similar_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(cls, root)`` of the texts that have a near-duplicate: Jaccard similarity of word shingles of ``similarity`` or more.
 
@@ -200,7 +217,9 @@ def similar_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5, si
     similarity 0.8 differ in some ten of 64 bits, from min-wise bands over
     the same shingle hashes. In a bucket every text meets the first and the
     last one, not all others, so a bucket of any size costs two candidates a
-    text. Each candidate is verified on all shingles. Equal texts are one
+    text. Texts of a bucket that are in different groups then meet further
+    ones of it, turn by turn, until a turn joins no groups. Each candidate is
+    verified on all shingles. Equal texts are one
     class; texts without words are similar to each other only.
     """
     light = materialize(features(docs, text_col, shingle).dropDuplicates(["cls"]).withColumn("id", F.monotonically_increasing_id()), "features")
@@ -212,18 +231,32 @@ def similar_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5, si
     same = light.select("fp", some.alias("x")).join(end("fp", "y"), "fp").select("x", "y")
     banded = light.select(some.alias("x"), F.explode("bands").alias("key"))
     ends = banded.groupBy("key").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).filter("lo <> hi")
-    met = banded.join(ends, "key").select("x", F.explode(F.array("lo", "hi")).alias("y"))
-    bound = (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n")) & (F.col("x.id") != F.col("y.id"))
-    pairs = balls.unionByName(same).unionByName(met).filter(bound).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    pairs = materialize(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(light, "id").select("id", "cls", "n")
+    shared = materialize(banded.join(ends, "key"), "shared")
+    met = shared.select("x", F.explode(F.array("lo", "hi")).alias("y"))
+    fits = (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n")) & (F.col("x.id") != F.col("y.id"))
+    ordered = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
+    pairs = materialize(balls.unionByName(same).unionByName(met).filter(fits).select(*ordered).distinct(), "pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(shared.select(F.col("x.id").alias("id")))
+    wanted = ids.distinct().join(light, "id").select("id", "cls", "n")
     texts = _classed(docs, text_col).dropDuplicates(["cls"]).join(wanted, "cls")
     sets = materialize(shingle_sets(texts, shingle).join(wanted.select("id", "n"), "id"), "shingles")
     left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    links = pairs.join(left, "a").join(right, "b").filter(both >= similarity * (F.col("na") + F.col("nb") - both)).select("a", "b")
-    roots = connected_components(links)
+
+    def verified(some_pairs: DataFrame) -> DataFrame:
+        found = some_pairs.join(left, "a").join(right, "b").filter(both >= similarity * (F.col("na") + F.col("nb") - both))
+        return materialize(found.select("a", "b"), "links")
+
+    tested, links, turn = pairs, verified(pairs), 0
+    while True:
+        roots = connected_components(links)
+        turn += 1
+        more = materialize(_across(shared, roots, turn, fits, ordered).join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = verified(more)
+        if found.isEmpty():
+            break
+        tested, links = tested.unionByName(more), links.unionByName(found)
     return roots.withColumnRenamed("node", "id").join(light.select("id", "cls"), "id").select("cls", "root")
 
 
