@@ -1,6 +1,7 @@
 """Operators on documents against brute force, on the small tables and on hard rows."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -158,6 +159,27 @@ def luhn(s):
     return sum(d[::2]) + sum(x * 2 - 9 * (x > 4) for x in d[1::2])
 
 
+def test_families_at_the_edge_lose_no_link(spark):
+    """Copies of copies of similarity about 0.8, where most pairs of a bucket do not link: the groups are those of all pairs."""
+    rnd, vocab, rows = random.Random(3), [f"w{i}" for i in range(5_000)], []
+    for _ in range(3):
+        base = [rnd.choice(vocab) for _ in range(200)]
+        for _ in range(60):
+            text = list(base)
+            for _ in range(rnd.randrange(2, 6)):
+                text[rnd.randrange(200)] = rnd.choice(vocab)
+            rows.append((len(rows), text))
+    sets = [set(zip(*[t[i:] for i in range(5)], strict=False)) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    assert {r.doc_id for r in simhash.drop_near_duplicates(table).collect()} == set(root)
+
+
 def test_personal_data(docs, rows):
     got = Counter(tuple(r[c] for c in ("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")) for r in pii.digests(pii.find_personal_data(docs)).collect())
     patterns = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
