@@ -95,3 +95,23 @@ def strict_double(text: Column) -> Column:
     n = F.when(text.rlike(r"^[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"), text).try_cast("double")
     gone = (n == 0) & F.regexp_replace(text, r"[eE].*$", "").rlike("[1-9]")
     return F.when((F.abs(n) < float("inf")) & ~gone, n)
+
+
+def bump_rank(message: Column) -> Column:
+    """What a commit message asks of the next version: 2 major, 1 minor, 0 patch; blank and null messages 0."""
+    body = F.regexp_replace(F.coalesce(message, F.lit("")), r"\A\s+|\s+\z", "")
+    header = F.trim(F.substring_index(body, "\n", 1))
+    # fixed values: the forms of breaking and feature messages
+    breaking = body.rlike(r"(?md)^BREAKING(?: CHANGE|-CHANGE):(?:[ \t].*)?$") | header.rlike(r"^[A-Za-z][A-Za-z0-9-]*(?:\([^\r\n)]+\))?!:")
+    feature = header.rlike(r"^feat(?:\([^\r\n)]+\))?:") | header.contains("[minor]")
+    return F.when(breaking, 2).when(feature, 1).otherwise(0)
+
+
+def bumped(version: Column, rank: Column) -> Column:
+    """The next version after plain ``MAJOR.MINOR.PATCH``; null if the version has another form or there is no rank."""
+    part = lambda i: F.split(version, r"\.")[i].try_cast("long")
+    upper = F.concat_ws(".", (part(0) + 1).cast("string"), F.lit("0"), F.lit("0"))
+    middle = F.concat_ws(".", part(0).cast("string"), (part(1) + 1).cast("string"), F.lit("0"))
+    lower = F.concat_ws(".", part(0).cast("string"), part(1).cast("string"), (part(2) + 1).cast("string"))
+    plain = version.rlike(r"\A(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)\z")
+    return F.when(plain & (rank == 2), upper).when(plain & (rank == 1), middle).when(plain & (rank == 0), lower)

@@ -123,3 +123,13 @@ def sessions(spark, sf_dir):
     new = F.when(F.col("ts") - F.lag("ts").over(w) <= F.expr("INTERVAL 30 MINUTE"), 0).otherwise(1)
     s = e.withColumn("new", new).withColumn("session", F.sum("new").over(w))
     return s.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"))
+
+
+@query("SELECT o_custkey, '1.' || max(CASE WHEN o_orderpriority = '2-HIGH' THEN 1 ELSE 0 END)::VARCHAR AS minor_seen, CASE WHEN bool_or(o_orderpriority = '1-URGENT') THEN '2.0.0' WHEN bool_or(o_orderpriority = '2-HIGH') THEN '1.3.0' ELSE '1.2.4' END AS version FROM orders GROUP BY 1")
+def version_bumps(spark, sf_dir):
+    """Each customer's orders as commit messages: urgent ones are breaking, high ones features; the highest decides."""
+    kind = F.col("o_orderpriority")
+    message = F.when(kind == "1-URGENT", "fix(core)!: turn").when(kind == "2-HIGH", "feat: add").otherwise("fix: mend")
+    rank = tx.bump_rank(message)
+    by = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max(rank).alias("rank"), F.max(F.when(rank == 1, 1).otherwise(0)).alias("m"))
+    return by.select("o_custkey", F.concat(F.lit("1."), F.col("m").cast("string")).alias("minor_seen"), tx.bumped(F.lit("1.2.3"), F.col("rank")).alias("version"))

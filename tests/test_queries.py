@@ -177,6 +177,14 @@ def test_text_functions(spark):
     assert [r[0] for r in n.select(tx.strict_double(F.col("s"))).collect()] == [1.5, None, None, 0.0, None, None, None, 0.5]
 
 
+def test_version_bumps(spark):
+    says = {"feat: a": 1, "feat(x): a": 1, "feature: a": 0, "fix: a [minor]": 1, "x!: a": 2, "fix(a)!: b": 2, "fix: a\n\nBREAKING CHANGE: b": 2, "a\nBREAKING-CHANGE:": 2, "fix: BREAKING CHANGE: b": 0, "\n feat: a": 1, "fix: a\n\nfeat: b": 0, "": 0}
+    rows = spark.createDataFrame([(m, r) for m, r in says.items()], "m string, r int")
+    assert rows.filter(tx.bump_rank(F.col("m")) != F.col("r")).count() == 0
+    v = spark.createDataFrame([("1.2.3", 2), ("1.2.3", 1), ("1.2.9", 0), ("1.2", 0), ("01.2.3", 0)], "v string, r int")
+    assert [r[0] for r in v.select(tx.bumped(F.col("v"), F.col("r"))).collect()] == ["2.0.0", "1.3.0", "1.2.10", None, None]
+
+
 def test_streams_agree_with_tables(spark, sf, tmp_path):
     table = spark.read.parquet(f"{sf}/events.parquet")
     table.repartitionByRange(3, "ts").sortWithinPartitions("ts").write.parquet(str(tmp_path / "in"))
