@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import fresh, materialize
@@ -193,20 +193,25 @@ def _classed(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.md5(text).alias("cls"), text.alias("text"))
 
 
-def _across(shared: DataFrame, roots: DataFrame, turn: int, fits: Column, ordered: list[Column]) -> DataFrame:
-    """Pairs ``(a, b)`` of texts of a bucket that are not in one group yet: each with the ends of SLOTS parts of the bucket.
+def _active(named: DataFrame, before: DataFrame | None) -> DataFrame:
+    """``(key, groups)`` of the buckets whose texts are in different groups, and in fewer than ``before``, if given."""
+    now = named.select("key", "root").distinct().groupBy("key").agg(F.count("*").alias("groups")).filter("groups > 1")
+    if before is not None:
+        now = now.join(before.withColumnRenamed("groups", "were"), "key").filter("groups < were").select("key", "groups")
+    return materialize(now, "active")
 
-    Parts and ends are dealt anew each turn; they are aggregates, so that no
-    bucket comes to one task.
+
+def _across(named: DataFrame, turn: int, fits: Column, ordered: list[Column]) -> DataFrame:
+    """Pairs ``(a, b)`` of texts of a bucket that are in different groups: each with two texts from each of SLOTS parts of the bucket.
+
+    Of a part these are a random text and the most central one; parts are
+    dealt anew each turn. Both are aggregates, so that no bucket comes to
+    one task.
     """
-    named = shared.select("key", "x").join(roots.select(F.col("node"), "root"), F.col("x.id") == F.col("node"), "left")
-    named = named.select("key", "x", F.coalesce("root", "x.id").alias("root"))
-    mixed = named.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
-    named = materialize(named.join(mixed, "key"), "mixed")
     at = F.xxhash64("x.id", "key", F.lit(turn))
-    one = F.struct(at.alias("at"), "x", "root")
-    parts = named.groupBy("key", F.pmod(at, F.lit(SLOTS)).alias("part")).agg(F.min(one).alias("lo"), F.max(one).alias("hi"))
-    parts = parts.select("key", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("end")).select("key", F.col("end.x").alias("y"), F.col("end.root").alias("other"))
+    parts = named.groupBy("key", F.pmod(at, F.lit(SLOTS)).alias("part")).agg(F.min(F.struct(at.alias("at"), "x", "root")).alias("lo"), F.max(F.struct("central", "x", "root")).alias("hub"))
+    parts = parts.select("key", F.explode(F.array_distinct(F.array(F.struct("lo.x", "lo.root"), F.struct("hub.x", "hub.root")))).alias("end"))
+    parts = parts.select("key", F.col("end.x").alias("y"), F.col("end.root").alias("other"))
     return named.join(parts, "key").filter((F.col("root") != F.col("other")) & fits).select(*ordered).distinct()
 
 
@@ -215,12 +220,14 @@ def similar_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5, si
 
     Candidates come from ball hashing of 64-bit SimHashes and, since texts of
     similarity 0.8 differ in some ten of 64 bits, from min-wise bands over
-    the same shingle hashes. In a bucket every text meets the first and the
-    last one, not all others, so a bucket of any size costs two candidates a
-    text. Texts of a bucket that are in different groups then meet further
-    ones of it, turn by turn, until a turn joins no groups. Each candidate is
-    verified on all shingles. Equal texts are one
-    class; texts without words are similar to each other only.
+    the same shingle hashes. In a bucket every text meets the first one and
+    the most central one (whose buckets hold the most texts: the one with the
+    least changes of its own), not all others, so a bucket of any size costs
+    two candidates a text. Texts of a bucket that are in different groups
+    then meet further ones of it, turn by turn, until a turn joins no groups
+    of that bucket: each stops on its own account, whatever others need. Each
+    candidate is verified on all shingles. Equal texts are one class; texts
+    without words are similar to each other only.
     """
     light = materialize(features(docs, text_col, shingle).dropDuplicates(["cls"]).withColumn("id", F.monotonically_increasing_id()), "features")
     some = F.struct("id", "n")
@@ -230,9 +237,11 @@ def similar_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5, si
     balls = near_links(first).join(end("a", "x"), "a").join(end("b", "y"), "b").select("x", "y")
     same = light.select("fp", some.alias("x")).join(end("fp", "y"), "fp").select("x", "y")
     banded = light.select(some.alias("x"), F.explode("bands").alias("key"))
-    ends = banded.groupBy("key").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).filter("lo <> hi")
-    shared = materialize(banded.join(ends, "key"), "shared")
-    met = shared.select("x", F.explode(F.array("lo", "hi")).alias("y"))
+    crowds = banded.groupBy("key").agg(F.count("*").alias("texts")).filter("texts > 1")
+    mine = Window.partitionBy("x.id")  # a row for each band at most
+    shared = materialize(banded.join(crowds, "key").select("key", "x", F.sum("texts").over(mine).alias("central")), "shared")
+    ends = shared.groupBy("key").agg(F.min("x").alias("lo"), F.max(F.struct("central", "x")).alias("hub"))
+    met = shared.join(ends, "key").select("x", F.explode(F.array_distinct(F.array("lo", "hub.x"))).alias("y"))
     fits = (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n")) & (F.col("x.id") != F.col("y.id"))
     ordered = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
     pairs = materialize(balls.unionByName(same).unionByName(met).filter(fits).select(*ordered).distinct(), "pairs")
@@ -248,15 +257,25 @@ def similar_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5, si
         found = some_pairs.join(left, "a").join(right, "b").filter(both >= similarity * (F.col("na") + F.col("nb") - both))
         return materialize(found.select("a", "b"), "links")
 
-    tested, links, turn = pairs, verified(pairs), 0
+    tested, links, turn, active = pairs, verified(pairs), 0, None
+    roots = connected_components(links)
+    named = shared.join(roots.withColumnRenamed("node", "id"), F.col("x.id") == F.col("id"), "left").select("key", "x", "central", F.coalesce("root", "x.id").alias("root"))
     while True:
-        roots = connected_components(links)
+        active = _active(named, active)
+        if active.isEmpty():
+            break
         turn += 1
-        more = materialize(_across(shared, roots, turn, fits, ordered).join(tested, ["a", "b"], "left_anti"), "pairs")
+        named = materialize(named.join(active.select("key"), "key"), "mixed")
+        more = materialize(_across(named, turn, fits, ordered).join(tested, ["a", "b"], "left_anti"), "pairs")
         found = verified(more)
-        if found.isEmpty():
-            break
         tested, links = tested.unionByName(more), links.unionByName(found)
+        of = named.select(F.col("x.id").alias("id"), "root").distinct()
+        end = lambda c: of.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))
+        joined = connected_components(found.join(end("a"), "a").join(end("b"), "b").select("ra", "rb"), "ra", "rb")
+        renamed = joined.select(F.col("node").alias("root"), F.col("root").alias("later"))
+        named = named.join(renamed, "root", "left").select("key", "x", "central", F.coalesce("later", "root").alias("root"))
+    if turn:
+        roots = connected_components(links)
     return roots.withColumnRenamed("node", "id").join(light.select("id", "cls"), "id").select("cls", "root")
 
 
