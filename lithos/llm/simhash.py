@@ -215,6 +215,32 @@ def _across(named: DataFrame, turn: int, fits: Column, ordered: list[Column]) ->
     return named.join(parts, "key").filter((F.col("root") != F.col("other")) & fits).select(*ordered).distinct()
 
 
+def _untested(sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``(a, b)`` of texts in different groups that no bound excludes from ``similarity``: all of them.
+
+    With the shingles of every text in one order, the rarest first, two texts
+    of that similarity share one of the first n - ceil(similarity * n) + 1 of
+    both, and from the first shared one on enough shingles are left in both.
+    Of the holders of a shingle those of its largest group meet only the
+    others, so a family that is one group already costs nothing.
+    """
+    each = sets.select("id", "n", F.explode("shingles").alias("shingle"))
+    counts = materialize(each.groupBy("shingle").agg(F.count("*").alias("texts")).filter("texts > 1"), "counts")
+    ranked = each.join(counts, "shingle", "left").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("texts", F.lit(1)).alias("texts"), "shingle"))).alias("all"))
+    first = (F.col("n") - F.ceil(similarity * F.col("n") - 1e-6) + 1).cast("int")
+    heads = ranked.select("id", "n", F.posexplode(F.slice("all", F.lit(1), first)).alias("at", "s")).filter("s.texts > 1")
+    heads = heads.join(roots.withColumnRenamed("node", "id"), "id", "left")
+    heads = materialize(heads.select("id", "n", F.coalesce("root", "id").alias("root"), "s.shingle", (F.col("n") - F.col("at")).alias("left")), "heads")
+    held = heads.groupBy("shingle", "root").agg(F.count("*").alias("texts"))
+    mixed = held.groupBy("shingle").agg(F.max(F.struct("texts", "root"))["root"].alias("main"), F.count("*").alias("groups")).filter("groups > 1")
+    mixed = materialize(heads.join(mixed.select("shingle", "main"), "shingle"), "mixed")
+    x, y = mixed.filter("root <> main").alias("x"), mixed.alias("y")
+    needed = similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-6
+    cond = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.id") < F.col("y.id")))
+    cond = cond & (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n")) & (F.least("x.left", "y.left") >= needed)
+    return x.join(y, cond).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def similar_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(cls, root)`` of the texts that have a near-duplicate: Jaccard similarity of word shingles of ``similarity`` or more.
 
@@ -225,9 +251,11 @@ def similar_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5, si
     least changes of its own), not all others, so a bucket of any size costs
     two candidates a text. Texts of a bucket that are in different groups
     then meet further ones of it, turn by turn, until a turn joins no groups
-    of that bucket: each stops on its own account, whatever others need. Each
-    candidate is verified on all shingles. Equal texts are one class; texts
-    without words are similar to each other only.
+    of that bucket: each stops on its own account, whatever others need. Of
+    all texts of buckets, the pairs still in different groups are then
+    candidates unless a bound excludes them. Each candidate is verified on
+    all shingles. Equal texts are one class; texts without words are similar
+    to each other only.
     """
     light = materialize(features(docs, text_col, shingle).dropDuplicates(["cls"]).withColumn("id", F.monotonically_increasing_id()), "features")
     some = F.struct("id", "n")
@@ -276,6 +304,9 @@ def similar_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5, si
         named = named.join(renamed, "root", "left").select("key", "x", "central", F.coalesce("later", "root").alias("root"))
     if turn:
         roots = connected_components(links)
+    rest = verified(materialize(_untested(sets, roots, similarity).join(tested, ["a", "b"], "left_anti"), "pairs"))
+    if not rest.isEmpty():
+        roots = connected_components(links.unionByName(rest))
     return roots.withColumnRenamed("node", "id").join(light.select("id", "cls"), "id").select("cls", "root")
 
 

@@ -180,6 +180,43 @@ def test_families_at_the_edge_lose_no_link(spark):
     assert {r.doc_id for r in simhash.drop_near_duplicates(table).collect()} == set(root)
 
 
+def test_pairs_that_meet_only_in_large_buckets_are_found(spark):
+    """In families of 400 and 600 lie pairs that share large buckets only; the groups are those of all pairs."""
+    rnd, rows = random.Random(11), []
+    features = lambda t: (h := simhash.shingle_hashes([w.encode() for w in t], 5), simhash.fingerprint_of(h), simhash.band_keys(h))[1:]
+    for family, size in enumerate((400, 600)):
+        vocab = [f"f{family}w{i}" for i in range(5_000)]
+        base = [rnd.choice(vocab) for _ in range(200)]
+        common = set(features(base)[1])
+
+        def changed(text, n, vocab=vocab):
+            text = list(text)
+            for at in rnd.sample(range(200), n):
+                text[at] = rnd.choice(vocab)
+            return text
+
+        texts = []
+        while len(texts) < 16:
+            one = changed(base, 4)
+            two = changed(one, 4)
+            (fp, keys), (other, others) = features(one), features(two)
+            if (shared := {*keys} & {*others}) and shared <= common and len(shared) < 5 and (fp ^ other).bit_count() > 3:
+                texts += [one, two]
+        texts += [changed(base, 4) for _ in range(size - len(texts))]
+        rnd.shuffle(texts)
+        rows += texts
+    sets = [set(zip(*[t[i:] for i in range(5)], strict=False)) for t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(0 if i < 400 else 400, i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) and root[i] != root[j]:
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string")
+    assert {r.doc_id for r in simhash.drop_near_duplicates(table).collect()} == set(root)
+
+
 def test_personal_data(docs, rows):
     got = Counter(tuple(r[c] for c in ("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")) for r in pii.digests(pii.find_personal_data(docs)).collect())
     patterns = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
