@@ -47,8 +47,11 @@ def _encoder(path: str):  # noqa: ANN202
     return tiktoken.Encoding("scan", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def known(run: str) -> bool:
-    """Whether a run is a digest, an identifier or a plain number: random on purpose, or no string of letters."""
+def known(run: str, encode, ratio: float) -> bool:  # noqa: ANN001
+    """Whether a run is a digest, an identifier or a plain number: random on purpose, or no string of letters.
+
+    Letters of one case make no identifier: they also have to pack well, at over ``ratio`` characters a token.
+    """
     if run.isdigit() or _uuid.fullmatch(run) or _integrity.fullmatch(run):
         return True
     if len(run) in DIGESTS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", run):
@@ -57,7 +60,8 @@ def known(run: str) -> bool:
         return True
     # names in snake, kebab, path or camel case: mostly words of one case of four letters and more
     words = [w for w in _parts.findall(run) if len(w) >= 4 and w.isalpha()]
-    return sum(map(len, words)) >= 0.6 * len(run)
+    letters = sum(map(len, words))
+    return letters >= 0.6 * len(run) and letters > ratio * sum(len(encode(w[i : i + PIECE])) for w in words for i in range(0, len(w), PIECE))
 
 
 def efficiency(run: str, encode) -> float:  # noqa: ANN001
@@ -79,7 +83,7 @@ def scan(text: str | None, encode, ratio: float) -> list[tuple[int, int, int]]:
             ends.append(e)
     for m in _run.finditer(text):
         run = m[0].rstrip("=-_/+")
-        if len(run) < 20 or known(run) or efficiency(run, encode) > ratio:
+        if len(run) < 20 or known(run, encode, ratio) or efficiency(run, encode) > ratio:
             continue
         at = bisect_left(starts, m.end())
         if not at or ends[at - 1] <= m.start():

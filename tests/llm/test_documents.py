@@ -70,6 +70,18 @@ def test_random_strings():
     assert secret_scan.redact(text, [{"kind": "assign", "start": start, "end": end}]) == "é [assign] end"
 
 
+def test_random_strings_of_one_case():
+    encode = secret_scan._encoder(secret_scan.default_vocabulary()).encode_ordinary
+    rnd, lower = random.Random(7), "abcdefghijklmnopqrstuvwxyz"
+    for letters in (lower, lower.upper(), lower.upper() + "234567", lower + "0123456789"):
+        for _ in range(200):
+            key = "".join(rnd.choices(letters, k=rnd.randrange(24, 41)))
+            planted = secret_scan.scan(f"see {key} there", encode, 2.2)
+            assert planted or secret_scan.efficiency(key, encode) > 2.2, key
+    for plain in ("spark-sql-kafka-connector_scala", "MAX_CONCURRENT_CONNECTIONS_PER_HOST"):
+        assert not secret_scan.scan(f"see {plain} there", encode, 2.2), plain
+
+
 def brute_fp(text, k=3):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     sh = [" ".join(w)] * bool(w) if len(w) < k else [" ".join(w[i : i + k]) for i in range(len(w) - k + 1)]
