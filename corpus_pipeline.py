@@ -14,8 +14,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of a source go from the texts."""
-    return line_dedup.drop_boilerplate(docs)
+    """Boilerplate lines of a source, and passages on a smaller share of it, go from the texts."""
+    return line_dedup.drop_boilerplate(docs, long=line_dedup.LONG)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

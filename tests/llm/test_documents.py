@@ -328,6 +328,16 @@ def test_boilerplate_lines(spark):
     assert out[99].text == "Header\nother" and out[100].text is None
 
 
+def test_passages_on_a_small_share_of_a_source(spark):
+    from corpus_pipeline import line_dedup_stage
+
+    planted = {f"This passage stands on {n} of a thousand pages of its source.": n for n in (12, 20, 40)}
+    rows = [(i, "\n".join([f"own line {i}", *(p for p, n in planted.items() if i < n), *["Yes."] * (i < 40), f"This long line is only on the page {i} and on its neighbours {i // 4}."]), "h", 0) for i in range(1_000)]
+    out = {r.doc_id: r.text for r in line_dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long"), "").collect()}
+    for i, text, *_ in rows:
+        assert out[i] == "\n".join(line for line in text.split("\n") if line not in planted)
+
+
 def test_depleted_documents(spark):
     common = "\n".join(" ".join(f"c{i}x{j}" for j in range(10)) for i in range(12))
     rows = [(i, f"{common}\nown line {i}", "h") for i in range(40)] + [(100, " ".join(f"clean{i}" for i in range(80)), "h")]
