@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import materialize
+from ._store import fresh, materialize
 
 WINDOW = 10
 BLOCK = 200_000
@@ -147,71 +148,207 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = BLOCK) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The items in blocks of ``size`` words (or one longer item), read one partition at a time."""
-    held, n = [], 0
+def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = BLOCK, window: int = WINDOW) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """The items in blocks of ``size`` words at most, read one partition at a time.
+
+    An item of more words comes in pieces that overlap by a window less one
+    word, so that each window is in one piece, and none is a short item.
+    """
+    size = max(size, window)
+    held: list[tuple[str, list[bytes]]] = []
+    n = 0
     rows = benchmark.select(F.col(id_col).cast("string"), F.col(text_col).cast("string")).orderBy(id_col, text_col)
     for name, text in rows.toLocalIterator():
         words = tokens(text)
-        if not words:
-            continue
-        if held and n + len(words) > size:
-            yield held
-            held, n = [], 0
-        held.append((name or "", words))
-        n += len(words)
+        for at in range(0, max(len(words) - window + 1, min(len(words), 1)), size - window + 1):
+            piece = words[at : at + size]
+            if held and n + len(piece) > size:
+                yield held
+                held, n = [], 0
+            held.append((name or "", piece))
+            n += len(piece)
     if held:
         yield held
 
 
+RUNS = "array<struct<first:bigint,end:bigint>>"
+
+
+def _pairs(runs: list[tuple[int, int]]) -> list[dict[str, int]]:
+    return [{"first": a, "end": b} for a, b in runs]
+
+
+def _tuples(runs: list[dict[str, int]]) -> list[tuple[int, int]]:
+    return [(r["first"], r["end"]) for r in runs]
+
+
+def _arrow(schema: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(T._parse_datatype_string(schema))
+
+
+def _by_block(benchmark: DataFrame, args: tuple, work: Callable[[SuffixAutomaton], DataFrame]) -> DataFrame | None:
+    """Union of ``work`` for the automaton of each block, written block by block, so that one automaton at a time is held; None without items."""
+    found = None
+    for block in blocks(benchmark, *args):
+        automaton = benchmark.sparkSession.sparkContext.broadcast(SuffixAutomaton(block, args[-1]))
+        part = materialize(work(automaton), "hits")
+        automaton.destroy()
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _first_blocks(benchmark: DataFrame, args: tuple) -> list[list[tuple[str, list[bytes]]]]:
+    """Two blocks at most: whether one automaton holds the whole benchmark."""
+    return list(itertools.islice(blocks(benchmark, *args), 2))
+
+
+def _text_hits(texts: DataFrame, benchmark: DataFrame, args: tuple) -> DataFrame:
+    """``(key, n_words, runs, items)`` of the distinct texts ``(key, text)`` that windows occur in, over all blocks."""
+    schema = f"key string, n_words long, runs {RUNS}, items array<string>"
+    arrow = _arrow(schema)
+
+    def work(automaton: object) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = automaton.value
+            for batch in batches:
+                rows = []
+                for key, text in zip(batch.column(0), batch.column(1).cast(pa.binary()), strict=True):
+                    words = tokens(text.as_py())
+                    runs, hit = known.match(words)
+                    if runs:
+                        rows.append((key.as_py(), len(words), _pairs(runs), sorted({known.names[i] for i in hit})))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], arrow.field(i).type) for i in range(4)], schema=arrow)
+
+        return texts.mapInArrow(run, schema).dropDuplicates(["key"])
+
+    found = _by_block(benchmark, args, work)
+    return found.groupBy("key").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+
 def find_windows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, size: int = BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``(doc_id, n_words, runs, items, *carry)``, a row for each row of ``docs``.
+    """``(doc_id, n_words, runs, items, *carry)``, a row for each row of ``docs``, repeated rows included.
 
     runs: merged ``(first, end)`` word numbers inside occurrences of windows
     of any item; items: the ids, as strings, of the items with such windows,
     sorted, each once. A null text has no words, an item without words no
-    window; a null item id is the empty string.
+    window; a null item id is the empty string. An empty table of documents
+    gives no row, an empty benchmark rows without runs. A text costs time in
+    proportion to its length, however long.
 
-    Items are broadcast as one automaton for each block of ``size`` words;
-    a larger benchmark takes a pass over the documents for each block, whose
-    results are written before the next, so memory is bounded by a block.
+    Items are broadcast as one automaton of ``size`` words at most. A larger
+    benchmark takes a pass over the texts for each block, which writes the
+    hits of distinct texts only; they are then joined by the texts' MD5.
     """
-    spark = docs.sparkSession
-    pair = T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())])
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c) for c in carry])
-    found = base.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast(T.ArrayType(pair)).alias("runs"), F.array().cast("array<string>").alias("items"), *carry)
+    args = (item_col, item_text, size, window)
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carry)
+    few = _first_blocks(benchmark, args)
+    automaton = docs.sparkSession.sparkContext.broadcast(SuffixAutomaton(few[0], window)) if len(few) == 1 else None
+    out = base.select("doc_id", F.lit(0).cast("long").alias("n_words"), F.array().cast(RUNS).alias("runs"), F.array().cast("array<string>").alias("items"), F.md5("text").alias("key"), *carry)
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow = to_arrow_schema(found.schema)
-
-    def passed(df: DataFrame, automaton: object) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = automaton.value if automaton else None
-            for batch in batches:
-                n, runs, items = [], [], []
-                texts = batch.column(1).cast(pa.binary())
-                for text, before, had in zip(texts, batch.column(3), batch.column(4), strict=True):
-                    words = tokens(text.as_py())
-                    n.append(len(words))
-                    spans, hit = known.match(words) if known else ([], set())
-                    if len(before):
-                        spans = merged([*spans, *((x["first"], x["end"]) for x in before.as_py())])
-                    runs.append([{"first": a, "end": b} for a, b in spans])
-                    items.append(sorted({known.names[i] for i in hit} | set(had.as_py() if len(had) else ())) if hit or len(had) else [])
-                cols = [batch.column(0), batch.column(1), *(pa.array(x, arrow.field(i + 2).type) for i, x in enumerate((n, runs, items)))]
-                yield pa.RecordBatch.from_arrays([*cols, *batch.columns[5:]], schema=arrow)
-
-        return df.mapInArrow(run, found.schema)
-
-    passes = 0
-    for block in blocks(benchmark, item_col, item_text, size):
-        if passes:
-            found = materialize(found, "windows")
-        found = passed(found, spark.sparkContext.broadcast(SuffixAutomaton(block, window)))
-        passes += 1
-    if not passes:
-        found = passed(found, None)
-    return found.drop("text")
+    arrow = to_arrow_schema(out.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = automaton.value if automaton else None
+        for batch in batches:
+            n, runs, items = [], [], []
+            for text in batch.column(2).cast(pa.binary()):
+                words = tokens(text.as_py())
+                spans, hit = known.match(words) if known else ([], set())
+                n.append(len(words))
+                runs.append(_pairs(spans))
+                items.append(sorted({known.names[i] for i in hit}) if hit else [])
+            cols = [pa.array(x, arrow.field(i + 1).type) for i, x in enumerate((n, runs, items))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols, *batch.columns[1:2], *batch.columns[3:]], schema=arrow)
+
+    found = base.select("doc_id", F.md5("text").alias("key"), "text", *carry).mapInArrow(run, out.schema)
+    if len(few) < 2:
+        return found.drop("key")
+    hits = _text_hits(docs.select(F.md5(F.col(text_col).cast("string")).alias("key"), F.col(text_col).cast("string").alias("text")).filter("key is not null"), benchmark, args)
+    joined = found.drop("runs", "items").join(hits.select("key", _merged(F.col("runs")).alias("runs"), "items"), "key", "left")
+    return joined.select("doc_id", "n_words", F.coalesce("runs", F.array().cast(RUNS)).alias("runs"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), *carry)
+
+
+def _merged(runs: Column) -> Column:
+    """Runs in order, those that touch made one."""
+    empty = F.array().cast(RUNS)
+
+    def add(done: Column, r: Column) -> Column:
+        last = F.element_at(done, -1)
+        touching = (F.size(done) > 0) & (r["first"] <= F.try_element_at(done, F.lit(-1))["end"])
+        wider = F.struct(last["first"].alias("first"), F.greatest(last["end"], r["end"]).alias("end"))
+        return F.when(touching, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(wider))).otherwise(F.concat(done, F.array(r)))
+
+    return F.aggregate(F.array_sort(runs), empty, add)
+
+
+class Gaps:
+    """The words cut from a text, as maximal runs over which it is walked."""
+
+    def __init__(self, runs: list[tuple[int, int]] = ()) -> None:
+        self.end_of = dict(runs)
+        self.start_of = {b: a for a, b in runs}
+
+    def cut(self, a: int, b: int) -> tuple[int, int]:
+        """Take out the words from a to b; the maximal run they are in now."""
+        at = a
+        while at < b:
+            if at in self.end_of:
+                at = self._drop(at)
+            else:
+                at += 1
+        b = max(at, b)
+        if b in self.end_of:
+            b = self._drop(b)
+        if a in self.start_of:
+            a = self.start_of[a]
+            self._drop(a)
+        self.end_of[a], self.start_of[b] = b, a
+        return a, b
+
+    def _drop(self, a: int) -> int:
+        b = self.end_of.pop(a)
+        del self.start_of[b]
+        return b
+
+    def around(self, a: int, b: int, reach: int, n: int) -> list[int]:
+        """Numbers of the ``reach`` words left on each side of the run from a to b."""
+        out = []
+        while len(out) < reach:
+            a = self.start_of.get(a, a)
+            if not a:
+                break
+            a -= 1
+            out.append(a)
+        out.reverse()
+        stop = len(out) + reach
+        while len(out) < stop:
+            b = self.end_of.get(b, b)
+            if b >= n:
+                break
+            out.append(b)
+            b += 1
+        return out
+
+    def runs(self) -> list[tuple[int, int]]:
+        return sorted(self.end_of.items())
+
+
+def seam_hits(words: list[bytes], gaps: Gaps, fresh: list[tuple[int, int]], known: SuffixAutomaton) -> list[tuple[int, int]]:
+    """Runs that windows hit across the cuts of ``fresh``: only there can new windows be."""
+    found = []
+    for a, b in fresh:
+        at = gaps.around(a, b, known.window - 1, len(words))
+        found += [(at[x], at[y - 1] + 1) for x, y in known.match([words[i] for i in at])[0]]
+    return merged(found)
+
+
+def cut_all(gaps: Gaps, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Take out ``found``; the maximal runs that changed."""
+    changed = [gaps.cut(a, b) for a, b in found]
+    return sorted({(a, b) for a, b in changed if gaps.end_of.get(a) == b})
 
 
 def cut(text: str, runs: list[tuple[int, int]]) -> str:
@@ -229,53 +366,117 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     Words that meet only after a cut can make a new window; cutting goes on
     until there is none. chars_col, if the table has it, holds the new number
-    of characters of changed texts. All columns stay, and null texts.
+    of characters of changed texts. All columns stay, and null texts;
+    repeated rows are treated alike; empty tables of documents or of items
+    give the documents as they are. Time is in proportion to a text's length.
+
+    The result does not depend on ``size``: windows of all blocks decide
+    together on coverage and on each round of cuts. With one block a task
+    does all rounds of a text; with more, each round is a pass for each
+    block, the first over ``docs`` (hand in a written table), later ones over
+    the texts that were cut in the round before.
     """
-    spark = docs.sparkSession
+    args = ("item_id", "text", size, window)
+    few = _first_blocks(benchmark, args)
+    if not few:
+        return docs
+    return _clean_at_once(docs, few[0], text_col, chars_col, window, coverage) if len(few) == 1 else _clean_by_rounds(docs, benchmark, args, text_col, chars_col, coverage)
+
+
+def _clean_at_once(docs: DataFrame, block: list[tuple[str, list[bytes]]], text_col: str, chars_col: str | None, window: int, coverage: float) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    automaton = docs.sparkSession.sparkContext.broadcast(SuffixAutomaton(block, window))
     arrow, at = to_arrow_schema(docs.schema), docs.columns.index(text_col)
     chars = docs.columns.index(chars_col) if chars_col in docs.columns else None
 
-    def passed(df: DataFrame, automaton: object) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = automaton.value
-            for batch in batches:
-                stay, texts, sizes = [], [], []
-                changed = False
-                for i, raw in enumerate(batch.column(at).cast(pa.binary())):
-                    words = tokens(raw.as_py())
-                    runs, _ = known.match(words)
-                    if not runs:
-                        stay.append(i)
-                        texts.append(None)
-                        continue
-                    changed = True
-                    if sum(b - a for a, b in runs) > coverage * len(words):
-                        continue
-                    text = raw.as_py().decode()
-                    while runs:
-                        text = cut(text, runs)
-                        runs, _ = known.match(tokens(text))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = automaton.value
+        for batch in batches:
+            stay, texts = [], []
+            changed = False
+            for i, raw in enumerate(batch.column(at).cast(pa.binary())):
+                words = tokens(raw.as_py())
+                runs, _ = known.match(words)
+                if not runs:
                     stay.append(i)
-                    texts.append(text)
-                if not changed:
-                    yield batch
+                    texts.append(None)
                     continue
-                kept = batch.take(pa.array(stay, pa.int64()))
-                cols = list(kept.columns)
-                cols[at] = pa.array([old.as_py() if new is None else new for old, new in zip(cols[at], texts, strict=True)], arrow.field(at).type)
-                if chars is not None:
-                    sizes = [old.as_py() if new is None else len(new) for old, new in zip(cols[chars], texts, strict=True)]
-                    cols[chars] = pa.array(sizes, arrow.field(chars).type)
-                yield pa.RecordBatch.from_arrays(cols, schema=arrow)
-
-        return df.mapInArrow(run, docs.schema)
-
-    out = docs
-    for n, block in enumerate(blocks(benchmark, size=size)):
-        out = passed(materialize(out, "clean") if n else out, spark.sparkContext.broadcast(SuffixAutomaton(block, window)))
-    return out
+                changed = True
+                if sum(b - a for a, b in runs) > coverage * len(words):
+                    continue
+                gaps = Gaps()
+                while runs:
+                    runs = seam_hits(words, gaps, cut_all(gaps, runs), known)
+                stay.append(i)
+                texts.append(cut(raw.as_py().decode(), gaps.runs()))
+            if not changed:
+                yield batch
+                continue
+            kept = batch.take(pa.array(stay, pa.int64()))
+            cols = list(kept.columns)
+            cols[at] = pa.array([old.as_py() if new is None else new for old, new in zip(cols[at], texts, strict=True)], arrow.field(at).type)
+            if chars is not None:
+                sizes = [old.as_py() if new is None else len(new) for old, new in zip(cols[chars], texts, strict=True)]
+                cols[chars] = pa.array(sizes, arrow.field(chars).type)
+            yield pa.RecordBatch.from_arrays(cols, schema=arrow)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _clean_by_rounds(docs: DataFrame, benchmark: DataFrame, args: tuple, text_col: str, chars_col: str | None, coverage: float) -> DataFrame:
+    state = f"key string, text string, gone {RUNS}, fresh {RUNS}"
+    found_schema = f"key string, runs {RUNS}"
+    arrow, found_arrow = _arrow(state), _arrow(found_schema)
+    keyed = docs.select(F.md5(F.col(text_col).cast("string")).alias("key"), F.col(text_col).cast("string").alias("text")).filter("key is not null")
+    hits = materialize(_text_hits(keyed, benchmark, args).withColumn("runs", _merged(F.col("runs"))), "hits")
+    n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["first"])
+    gone = hits.filter(n_hit > F.lit(coverage) * F.col("n_words")).select("key")
+    cuts = hits.filter(n_hit <= F.lit(coverage) * F.col("n_words")).select("key", "runs")
+    none = F.array().cast(RUNS)
+    open_ = keyed.join(cuts.select("key"), "key", "left_semi").dropDuplicates(["key"]).withColumn("gone", none).withColumn("fresh", none)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gaps = [Gaps(_tuples(g.as_py())) for g in batch.column(2)]
+            fresh = [_pairs(cut_all(g, _tuples(r.as_py()))) for g, r in zip(gaps, batch.column(4), strict=True)]
+            cols = [pa.array(x, arrow.field(i + 2).type) for i, x in enumerate(([_pairs(g.runs()) for g in gaps], fresh))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], schema=arrow)
+
+    done = None
+    while True:
+        now = materialize(open_.join(cuts, "key").select("key", "text", "gone", "fresh", "runs").mapInArrow(apply, state), "open")
+
+        def work(automaton: object, now: DataFrame = now) -> DataFrame:
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                known = automaton.value
+                for batch in batches:
+                    rows = []
+                    for key, text, before, fresh in zip(batch.column(0), batch.column(1).cast(pa.binary()), batch.column(2), batch.column(3), strict=True):
+                        runs = seam_hits(tokens(text.as_py()), Gaps(_tuples(before.as_py())), _tuples(fresh.as_py()), known)
+                        if runs:
+                            rows.append((key.as_py(), _pairs(runs)))
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], found_arrow.field(i).type) for i in range(2)], schema=found_arrow)
+
+            return now.mapInArrow(run, found_schema)
+
+        more = _by_block(benchmark, args, work)
+        cuts = materialize(more.groupBy("key").agg(_merged(F.flatten(F.collect_list("runs"))).alias("runs")), "cuts")
+        settled = now.join(cuts.select("key"), "key", "left_anti").select("key", "text", "gone")
+        done = settled if done is None else done.unionByName(settled)
+        if cuts.isEmpty():
+            break
+        open_ = now
+
+    key, new, drop = fresh(docs, "_key"), fresh(docs, "_new"), fresh(docs, "_drop")
+    cleaned = F.udf(lambda text, runs: cut(text, _tuples(runs)), "string", useArrow=True)
+    verdicts = materialize(done.select(F.col("key").alias(key), cleaned("text", "gone").alias(new), F.lit(False).alias(drop)).unionByName(gone.select(F.col("key").alias(key), F.lit(None).cast("string").alias(new), F.lit(True).alias(drop))), "verdicts")
+    joined = docs.withColumn(key, F.md5(F.col(text_col).cast("string"))).join(verdicts, key, "left").filter(~F.coalesce(F.col(drop), F.lit(False)))
+    cols = []
+    for c in docs.columns:
+        value = F.coalesce(F.col(new), F.col(f"`{c}`")) if c == text_col else F.when(F.col(new).isNotNull(), F.length(new)).otherwise(F.col(f"`{c}`")).cast(docs.schema[c].dataType) if c == chars_col else F.col(f"`{c}`")
+        cols.append(value.alias(c))
+    return joined.select(*cols)
 
 
 def digests(found: DataFrame) -> DataFrame:

@@ -308,6 +308,54 @@ def test_decontamination_cuts(spark):
     assert out[0].n_chars == len(out[0].text) and out[2].text == "clean words" and out[3].text is None
 
 
+def brute_clean(text, items, window, coverage=0.5):
+    """Round by round over plain lists of words, all windows of all items at once."""
+    words = [(m.group().lower(), i) for i, m in enumerate(re.finditer(r"[0-9A-Za-z\x80-\U0010ffff]+", text))]
+    grams = {tuple(w[i : i + window]) for w in items for i in range(len(w) - window + 1)} | {tuple(w) for w in items if 0 < len(w) < window}
+    sizes = {len(g) for g in grams}
+    first = True
+    while True:
+        hit = {j for i in range(len(words)) for n in sizes if tuple(w for w, _ in words[i : i + n]) in grams and i + n <= len(words) for j in range(i, i + n)}
+        if first and len(hit) > coverage * len(words):
+            return None
+        if not hit:
+            return [w for w, _ in words]
+        first = False
+        words = [x for j, x in enumerate(words) if j not in hit]
+
+
+def test_cleaning_does_not_depend_on_blocks(spark):
+    rnd = random.Random(9)
+    items = [[rnd.choice("abcd") for _ in range(n)] for n in (0, 2, 6, 16, 6)]
+    texts = [" ".join(rnd.choice("abcdefghi") for _ in range(rnd.choice([0, 5, 60, 200]))) for _ in range(120)]
+    items.append(list("pqrstu"))
+    texts += ["x y z w v x y z w v p q r p q r s t u s t u x y z w v x y z", None, "", None, " ".join(items[3])] + texts[:10]
+    docs = spark.createDataFrame([(i, t, len(t) if t is not None else None, "k", "n") for i, t in enumerate(texts)], "doc_id long, text string, n_chars long, _key string, _new string")
+    bench = spark.createDataFrame([(f"i{i}", " ".join(w)) for i, w in enumerate(items)], "item_id string, text string")
+    want = {i: brute_clean(t or "", items, 5) for i, t in enumerate(texts)}
+    assert want[120] == list("xyzwvxyzwvxyzwvxyz") and None in want.values()
+    for size in (12, 10**6):
+        got = {r.doc_id: r for r in decontaminate.decontaminate(docs, bench, window=5, size=size).collect()}
+        assert set(got) == {i for i, w in want.items() if w is not None}
+        for i, r in got.items():
+            assert re.findall(r"\w+", r.text or "") == want[i] and (r.text is None) == (texts[i] is None)
+            assert r.n_chars == (None if r.text is None else len(r.text)) and (r["_key"], r["_new"]) == ("k", "n")
+        clean = decontaminate.decontaminate(docs, bench, window=5, size=size)
+        assert decontaminate.digests(decontaminate.find_windows(clean, bench, window=5, size=size)).filter("contaminated").count() == 0
+
+
+def test_joint_coverage_over_blocks(spark):
+    one, two = [f"a{i}" for i in range(12)], [f"b{i}" for i in range(12)]
+    text = " ".join(one + [f"c{i}" for i in range(16)] + two)
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(two))], "item_id long, text string")
+    assert decontaminate.decontaminate(docs, bench, size=12).count() == decontaminate.decontaminate(docs, bench).count() == 0
+    long = spark.createDataFrame([(1, " ".join(one + two))], "item_id long, text string")
+    spread = docs.withColumn("text", F.lit(" ".join(["z"] * 40 + (one + two)[5:22])))
+    got = [decontaminate.find_windows(spread, long, size=s).first() for s in (11, 1000)]
+    assert got[0].runs == got[1].runs and got[0].items == got[1].items == ["1"]
+
+
 def test_mix_budgets(docs):
     by = defaultdict(lambda: [0, None])
     for r in mixing.mix(docs).collect():
