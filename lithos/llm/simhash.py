@@ -15,6 +15,7 @@ from .components import connected_components
 
 BITS, RADIUS = 64, 3
 CHUNK = 1 << 16
+TASK_ROWS = 2_000_000
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -86,6 +87,8 @@ def near_links(fps: DataFrame, col: str = "fp", dense: int = 256) -> DataFrame:
     at most: the same links, from smaller buckets.
     """
     fps = fps.select(F.col(col).cast("long").alias("fp")).filter("fp is not null").distinct()
+    # by rows, not bytes: each becomes 66, so that no task writes more than TASK_ROWS
+    fps = fps.repartition(1 + fps.count() * 66 // TASK_ROWS, "fp")
     flips = [0] + [1 << i for i in range(32)]
     exact = fps.select("fp", F.explode(F.array(_half(F.col("fp"), 0), _half(F.col("fp"), 1))).alias("key"))
     ball = lambda half: F.array(*[_half(F.col("fp"), half).bitwiseXOR(F.lit(m)) for m in flips])
@@ -134,7 +137,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 # ---- whole-text similarity: what the corpus pipeline needs -----------------
 
-BANDS, ROWS, SLOTS = 18, 6, 8
+BANDS, ROWS, SLOTS, TURNS = 18, 6, 8, 6
 
 
 def _minhash_params(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +162,7 @@ def band_keys(hashes: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> list[
 
 
 def features(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """``(cls, n, fp, bands)`` for each row; cls: MD5 of the text; n: its distinct shingles."""
+    """``(id, n, fp, bands)`` for each row; id: MD5 of the text, 16 bytes; n: its distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,9 +173,9 @@ def features(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
                 n.append(len(distinct))
                 fp.append(fingerprint_of(all_of))
                 bands.append(band_keys(distinct))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["cls", "n", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "n", "fp", "bands"])
 
-    return _classed(docs, text_col).mapInArrow(run, "cls string, n long, fp long, bands array<long>")
+    return _classed(docs, text_col).mapInArrow(run, "id binary, n long, fp long, bands array<long>")
 
 
 def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -185,12 +188,20 @@ def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
                 sets = [np.unique(shingle_hashes(words_of(t.as_py()), shingle)).view(np.int64) for t in part.column(1).cast(pa.binary())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, shingles array<long>")
+    return texts.select("id", "text").mapInArrow(run, "id binary, shingles array<long>")
+
+
+def _text(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+
+
+def _class(text_col: str) -> Column:
+    """What names a text, however its rows are dealt: its MD5."""
+    return F.unhex(F.md5(_text(text_col)))
 
 
 def _classed(docs: DataFrame, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.md5(text).alias("cls"), text.alias("text"))
+    return docs.select(_class(text_col).alias("id"), _text(text_col).alias("text"))
 
 
 def _active(named: DataFrame, before: DataFrame | None) -> DataFrame:
@@ -241,23 +252,31 @@ def _untested(sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame
     return x.join(y, cond).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
-def similar_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``(cls, root)`` of the texts that have a near-duplicate: Jaccard similarity of word shingles of ``similarity`` or more.
+def similar_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5, similarity: float = 0.8, exact: bool = False) -> DataFrame:
+    """``(id, root)`` of the texts that have a near-duplicate: Jaccard similarity of word shingles of ``similarity`` or more.
 
-    Candidates come from ball hashing of 64-bit SimHashes and, since texts of
-    similarity 0.8 differ in some ten of 64 bits, from min-wise bands over
-    the same shingle hashes. In a bucket every text meets the first one and
-    the most central one (whose buckets hold the most texts: the one with the
-    least changes of its own), not all others, so a bucket of any size costs
-    two candidates a text. Texts of a bucket that are in different groups
-    then meet further ones of it, turn by turn, until a turn joins no groups
-    of that bucket: each stops on its own account, whatever others need. Of
+    id: MD5 of the text, null read as empty. Candidates come from ball hashing
+    of 64-bit SimHashes and, since texts of similarity 0.8 differ in some ten
+    of 64 bits, from min-wise bands over the same shingle hashes. In a bucket
+    every text meets the first one and the most central one (whose buckets
+    hold the most texts: the one with the least changes of its own), not all
+    others, so a bucket of any size costs two candidates a text. Texts of a
+    bucket that are in different groups then meet further ones of it, turn by
+    turn, until a turn joins no groups of that bucket or TURNS are over. Of
     all texts of buckets, the pairs still in different groups are then
     candidates unless a bound excludes them. Each candidate is verified on
-    all shingles. Equal texts are one class; texts without words are similar
-    to each other only.
+    all shingles. Texts are named and ordered by their MD5, so the result
+    does not depend on how rows are dealt.
+
+    Only a text that shares no bucket with its near-duplicates is missed. With
+    ``exact`` the last pass takes the shingles of all texts, not just those in
+    buckets: no pair is lost, for a shuffle of all shingles.
+
+    Equal texts are one class; texts without words are similar to each other
+    only; an empty table gives no row. A text's cost is its length times the
+    108 minima of its bands.
     """
-    light = materialize(features(docs, text_col, shingle).dropDuplicates(["cls"]).withColumn("id", F.monotonically_increasing_id()), "features")
+    light = materialize(features(docs, text_col, shingle).dropDuplicates(["id"]), "features")
     some = F.struct("id", "n")
     # texts that share a fingerprint meet its first one; fingerprints within the radius meet by their first texts
     first = materialize(light.groupBy("fp").agg(F.min(some).alias("first")), "first")
@@ -274,9 +293,9 @@ def similar_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5, si
     ordered = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
     pairs = materialize(balls.unionByName(same).unionByName(met).filter(fits).select(*ordered).distinct(), "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(shared.select(F.col("x.id").alias("id")))
-    wanted = ids.distinct().join(light, "id").select("id", "cls", "n")
-    texts = _classed(docs, text_col).dropDuplicates(["cls"]).join(wanted, "cls")
-    sets = materialize(shingle_sets(texts, shingle).join(wanted.select("id", "n"), "id"), "shingles")
+    wanted = (light if exact else light.join(ids.distinct(), "id", "left_semi")).select("id", "n")
+    texts = _classed(docs, text_col).dropDuplicates(["id"]).join(wanted, "id")
+    sets = materialize(shingle_sets(texts, shingle).withColumn("n", F.size("shingles").cast("long")), "shingles")
     left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
@@ -288,7 +307,7 @@ def similar_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5, si
     tested, links, turn, active = pairs, verified(pairs), 0, None
     roots = connected_components(links)
     named = shared.join(roots.withColumnRenamed("node", "id"), F.col("x.id") == F.col("id"), "left").select("key", "x", "central", F.coalesce("root", "x.id").alias("root"))
-    while True:
+    while turn < TURNS:
         active = _active(named, active)
         if active.isEmpty():
             break
@@ -307,24 +326,27 @@ def similar_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5, si
     rest = verified(materialize(_untested(sets, roots, similarity).join(tested, ["a", "b"], "left_anti"), "pairs"))
     if not rest.isEmpty():
         roots = connected_components(links.unionByName(rest))
-    return roots.withColumnRenamed("node", "id").join(light.select("id", "cls"), "id").select("cls", "root")
+    return roots.select(F.col("node").alias("id"), "root")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: that of the smallest doc_id, null last.
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, exact: bool = False) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: that of the smallest doc_id, null last, then of the least MD5.
 
-    Exact copies and repeated rows are near-duplicates. All columns stay.
+    Exact copies and repeated rows are near-duplicates; null and empty texts
+    are copies of each other; an empty table stays empty. All columns stay.
+    See ``similar_groups`` for long texts, and for ``exact``.
     """
     group, unit = fresh(docs, "_group"), fresh(docs, "_unit")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    units = docs.select(F.col(id_col).alias("id"), F.md5(text).alias("cls")).groupBy("id", "cls").agg(F.count("*").alias("rows"))
-    units = units.join(similar_groups(docs, text_col, shingle, similarity), "cls", "left").withColumn("root", F.coalesce(F.col("root").cast("string"), F.col("cls")))
+    cls = _class(text_col)
+    units = docs.select(F.col(id_col).alias("id"), cls.alias("cls")).groupBy("id", "cls").agg(F.count("*").alias("rows"))
+    groups = similar_groups(docs, text_col, shingle, similarity, exact).withColumnRenamed("id", "cls")
+    units = units.join(groups, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     order = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("cls").alias("cls"))
     winners = units.groupBy("root").agg(F.min(order).alias("w"))
     # by the winners themselves, not by group: no key of this join is hotter than another
     units = units.withColumn(unit, order).join(winners.select(F.col("w").alias(unit), F.lit(True).alias("won")), unit, "left")
     judged = materialize(units.select("id", "cls", "rows", F.coalesce("won", F.lit(False)).alias("wins")), "judged")
-    rows = docs.withColumn(unit, F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.md5(text).alias("cls")))
+    rows = docs.withColumn(unit, F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), cls.alias("cls")))
     keyed = judged.select(order.alias(unit), "rows", "wins")
     lost = keyed.filter(~F.col("wins") | (F.col("rows") > 1)).select(unit)
     kept = rows.join(lost, unit, "left_anti").select(*docs.columns)

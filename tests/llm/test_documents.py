@@ -229,6 +229,36 @@ def test_pairs_that_meet_only_in_large_buckets_are_found(spark):
     assert {r.doc_id for r in simhash.drop_near_duplicates(table).collect()} == set(root)
 
 
+def test_near_duplicates_do_not_depend_on_dealing_and_exact_loses_none(spark):
+    rnd = random.Random(5)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(120)]
+    texts = []
+    for _ in range(150):
+        words = list(base)
+        for i in rnd.sample(range(120), 3):
+            words[i] = f"v{rnd.randrange(10**6)}"
+        texts.append(" ".join(words))
+    texts += ["", " ", "one two"] + [" ".join(f"u{rnd.randrange(10**6)}" for _ in range(80)) for _ in range(30)]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if (w := t.split()) else set() for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    want = {find(i) for i in range(len(texts))}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = [{r.doc_id for r in simhash.drop_near_duplicates(docs.repartition(n)).collect()} for n in (1, 3, 8)]
+    assert kept[0] == kept[1] == kept[2] >= want
+    assert {r.doc_id for r in simhash.drop_near_duplicates(docs, exact=True).collect()} == want
+
+
 def test_personal_data(docs, rows):
     got = Counter(tuple(r[c] for c in ("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")) for r in pii.digests(pii.find_personal_data(docs)).collect())
     patterns = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
