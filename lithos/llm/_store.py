@@ -9,19 +9,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[object, str]] = []
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one only where the session names none (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; a local one only where the session names none and runs in one process (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
     if set_before.isDefined():
         return set_before.get().rstrip("/")
-    own = "file://" + tempfile.mkdtemp(prefix="lithos-shared-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that the whole cluster shares in spark.checkpoint.dir")
+        _own[app] = "file://" + tempfile.mkdtemp(prefix="lithos-shared-")
+    return _own[app]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
