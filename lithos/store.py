@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()``; a folder of our own only where the session names none."""
+    """``df.checkpoint()``; a folder of our own, removed at the end, only where the session names none and runs in one process."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="lithos-checkpoint-"))
+        if not named:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("name a folder that the whole cluster shares in spark.checkpoint.dir")
+            own = tempfile.mkdtemp(prefix="lithos-checkpoint-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            named = "file://" + own
+        spark.sparkContext.setCheckpointDir(named)
     return df.checkpoint()
