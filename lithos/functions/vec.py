@@ -50,6 +50,13 @@ def length(a: Vec) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def distance(a: Vec, b: Vec) -> Column:
+    """Distance of two points without over- or underflow of squares; infinite only if a difference is."""
+    d = [F.abs(x) for x in sub(a, b)]
+    top = F.greatest(*d)
+    return F.when((top == 0) | (top == float("inf")), top).otherwise(top * F.sqrt(total([(x / top) * (x / top) for x in d])))
+
+
 def unit(a: Vec) -> Vec:
     """Null components for a vector of no length."""
     n = F.nullif(length(a), F.lit(0.0))

@@ -104,45 +104,88 @@ def hash_rank_sample(points: DataFrame, k: int, role: str = "measurement", seed:
     return eligible.withColumn("rank", rank_column(F.col("idx"), text, role, seed)).orderBy("rank", "idx").limit(k)
 
 
-def nearest(queries: DataFrame, targets: DataFrame, cell: float) -> DataFrame:
-    """``(q, distance)``: distance of each query point ``(q, x, y, z)`` to the nearest target ``(x, y, z)``.
+#: Cells hold some eight targets at the start; no cell is narrower than this share of the largest coordinate, so that cell numbers are exact.
+PER_CELL, NARROWEST = 8, -44
+
+
+def _cell_exponent(targets: DataFrame, top: int) -> int:
+    """The widest power of two below ``top`` at which cells hold PER_CELL targets or fewer on average: from one pass, by distinct cells."""
+    steps = range(top, NARROWEST - 1, -2)
+    cells = [F.approx_count_distinct(F.struct(*[F.floor(F.col(c) * 2.0**-e) for c in "xyz"])).alias(f"e{i}") for i, e in enumerate(steps)]
+    n, *found = targets.agg(F.count("*"), *cells).first()
+    return next((e for e, k in zip(steps, found, strict=True) if n <= PER_CELL * max(k, 1)), NARROWEST)
+
+
+def nearest(queries: DataFrame, targets: DataFrame) -> DataFrame:
+    """``(q, distance)``: distance of each query point ``(q, x, y, z)`` to the nearest target ``(x, y, z)``; null if there is none.
 
     Both sides are put in cells; a query looks at its cell and the 26 around
     it, and is done if it finds a target within one cell's width, for
-    nothing outside is nearer. The others go on in cells twice as wide. So
-    each round is an equi-join on cells, never a product of the tables; a
-    query without any target gets null after 64 rounds.
+    nothing outside is nearer. The others go on in cells twice as wide, up to
+    twice the whole extent, where every query sees every target. So each round
+    is an equi-join on cells, there are some fifty at most, and none is a
+    product of the tables but what is left for that last one. Widths are
+    powers of two, so cell numbers are exact at any magnitude; distances are
+    of the coordinates as given. Equal targets are one. A difference beyond
+    the range of a double raises.
     """
     steps = F.array(*[F.struct(*[F.lit(d).cast("long").alias(n) for d, n in zip((a, b, c), "abc", strict=True)]) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
-    if targets.isEmpty():
+    largest = F.max(F.greatest(*[F.abs(c) for c in "xyz"]))
+    sizes = [t.agg(largest).first()[0] for t in (queries, targets)]
+    if sizes[0] is None or sizes[1] is None:
         return queries.select("q", F.lit(None).cast("double").alias("distance"))
-    open_, done, width = queries.select("q", "x", "y", "z"), None, cell
-    for _ in range(64):
-        key = lambda c: F.floor(F.col(c) / width).cast("long")  # noqa: B023,E731
-        around = open_.withColumn("d", F.explode(steps)).select("q", "x", "y", "z", *[(key(c) + F.col(f"d.{d}")).alias(f"c{c}") for c, d in zip("xyz", "abc", strict=True)])
-        placed = targets.select(*[F.col(c).alias(f"t{c}") for c in "xyz"], *[key(c).alias(f"c{c}") for c in "xyz"])
-        far = v.length(tuple(F.col(c) - F.col(f"t{c}") for c in "xyz"))
-        best = around.join(placed, ["cx", "cy", "cz"]).groupBy("q").agg(F.min(far).alias("distance"))
+    _, power = math.frexp(max(*sizes, 5e-324))
+    at = [F.col(c) * 2.0 ** -(power // 2) * 2.0 ** -(power - power // 2) for c in "xyz"]  # within -1 and 1; in two steps, for 2 ** 1074 is no double
+
+    def scaled(t: DataFrame, *keep: str) -> DataFrame:
+        return t.select(*keep, *[F.col(c).alias(f"o{c}") for c in "xyz"], *[x.alias(c) for x, c in zip(at, "xyz", strict=True)])
+
+    placed = checkpointed(scaled(targets.select(*"xyz").distinct()))
+    open_, done, width = scaled(queries, "q"), None, _cell_exponent(placed, 2)
+    far = v.distance(tuple(F.col(f"o{c}") for c in "xyz"), tuple(F.col(f"t{c}") for c in "xyz"))
+    while True:
+        key = lambda c: F.floor(F.col(c) * 2.0**-width).cast("long")  # noqa: B023,E731
+        around = open_.withColumn("d", F.explode(steps)).select("q", *[f"o{c}" for c in "xyz"], *[(key(c) + F.col(f"d.{d}")).alias(f"c{c}") for c, d in zip("xyz", "abc", strict=True)])
+        cells = placed.select(*[F.col(f"o{c}").alias(f"t{c}") for c in "xyz"], *[key(c).alias(f"c{c}") for c in "xyz"])
+        best = around.join(cells, ["cx", "cy", "cz"]).groupBy("q").agg(F.min(far).alias("distance"))
         seen = checkpointed(open_.join(best, "q", "left"))
-        found = seen.filter(F.col("distance") <= width).select("q", "distance")
+        # scaled back in two steps; beyond the extent nothing is left to look at
+        near = F.lit(True) if width > 2 else F.col("distance") * 2.0 ** -(power // 2) * 2.0 ** -(power - power // 2) <= 2.0**width
+        found = seen.filter(near).select("q", "distance")
         done = found if done is None else done.unionByName(found)
-        open_ = seen.filter(F.col("distance").isNull() | (F.col("distance") > width)).select("q", "x", "y", "z")
+        open_ = seen.filter(~F.coalesce(near, F.lit(False))).drop("distance")
         if open_.isEmpty():
-            return done
-        width *= 2
-    return done.unionByName(open_.select("q", F.lit(None).cast("double").alias("distance")))
+            return done.withColumn("distance", F.when(F.col("distance") == math.inf, F.raise_error(F.lit("a distance is beyond the range of a double")).cast("double")).otherwise(F.col("distance")))
+        width += 1
 
 
 def distance_statistics(distances: DataFrame, tolerance: float) -> DataFrame:
-    """mean, rms, maximum, percentiles (linear between order statistics) and the share within the tolerance, on values scaled by the largest."""
-    top = distances.agg(F.max("distance").alias("scale"))
-    scaled = distances.join(F.broadcast(top), F.lit(True)).withColumn("u", F.coalesce(F.try_divide("distance", "scale"), F.lit(0.0)))
-    s = F.max("scale")
-    return scaled.agg(
-        F.count("*").alias("n"), (F.avg("u") * s).alias("mean"), (F.sqrt(F.avg(F.col("u") * F.col("u"))) * s).alias("rms"), s.alias("maximum"),
-        *[(F.percentile("u", F.lit(p / 100)) * s).alias(f"p{p}") for p in PERCENTILES],
+    """n, mean, rms, maximum, percentiles (linear between order statistics) and the share within the tolerance.
+
+    Moments are of values over the largest, so no square over- or underflows;
+    a moment or percentile of values above zero that underflows raises. Order
+    statistics come from counts by range partition, not from one sorted task.
+    No row comes back for an empty table.
+    """
+    n, scale = distances.agg(F.count("*"), F.max("distance")).first()
+    ranked = numbered(distances.select("distance"), "distance")
+    spots = {p: divmod((n - 1) * p, 100) for p in PERCENTILES}
+    wanted = sorted({i + d for i, _ in spots.values() for d in (0, 1)})
+    order = ranked.filter(F.col("i").isin(wanted)).agg(F.map_from_entries(F.collect_list(F.struct("i", F.col("distance").alias("d")))).alias("at"))  # eight rows at most
+    unit = F.col("distance") / F.lit(scale) if scale else F.lit(0.0)
+    moments = distances.agg(
+        F.count("*").alias("n"), F.avg(unit).alias("u1"), F.sqrt(F.avg(unit * unit)).alias("u2"),
         (100.0 * F.avg(F.when(F.col("distance") <= tolerance, 1.0).otherwise(0.0))).alias("within_percent"),
     )
+    top = F.lit(float(scale or 0.0))
+    sound = lambda unit, x: F.when((unit > 0) & (x == 0), F.raise_error(F.lit("a statistic of distances above zero underflows")).cast("double")).otherwise(x)
+    cols = [sound(F.col(u), F.col(u) * top).alias(name) for u, name in (("u1", "mean"), ("u2", "rms"))]
+    marks = []
+    for p, (low, rest) in spots.items():
+        a, b = [F.try_element_at("at", F.lit(i).cast("long")) / F.lit(scale or 1.0) for i in (low, min(low + 1, max(n - 1, 0)))]
+        u = a + (b - a) * (rest / 100.0)
+        marks.append(sound(u, u * top).alias(f"p{p}"))
+    return moments.join(F.broadcast(order), F.lit(True)).filter("n > 0").select("n", *cols, top.alias("maximum"), *marks, "within_percent")
 
 
 def certificate(distances: DataFrame, tolerance: float) -> DataFrame:

@@ -64,7 +64,7 @@ def _distances(spark, sf_dir):
     """From every point of the cloud to the cloud turned by 90 degrees about z."""
     p = points(spark, sf_dir)
     turned = p.select((-F.col("y")).alias("x"), F.col("x").alias("y"), "z")
-    return cloud.nearest(p.withColumnRenamed("idx", "q"), turned, 0.25)
+    return cloud.nearest(p.withColumnRenamed("idx", "q"), turned)
 
 
 @query(f"{_NN} SELECT q, {sql_near('distance', 9)} AS distance FROM d")
@@ -72,6 +72,18 @@ def nn_distance(spark, sf_dir):
     return _distances(spark, sf_dir).select("q", near("distance", 9).alias("distance"))
 
 
+@query(f"WITH p AS (SELECT {XYZ} FROM embeddings), k AS (SELECT *, CASE idx % 3 WHEN 0 THEN 1e200 WHEN 1 THEN 1e-200 ELSE 1.0 END AS s FROM p), q AS (SELECT idx, s, x * s AS x, y * s AS y, z * s AS z, greatest(abs(x), abs(y), abs(z)) * s AS m FROM k) SELECT idx AS q, {sql_near('m / s * sqrt((x / m) * (x / m) + (y / m) * (y / m) + (z / m) * (z / m))', 9)} AS distance FROM q")
+def nn_magnitudes(spark, sf_dir):
+    """Points scaled by 1e200, 1e-200 or 1, each cloud against the origin."""
+    k, origin = F.col("idx") % 3, spark.createDataFrame([(0.0, 0.0, 0.0)], "x double, y double, z double")
+    out = None
+    for i, s in enumerate((1e200, 1e-200, 1.0)):
+        scaled = points(spark, sf_dir).filter(k == i).select(F.col("idx").alias("q"), *[(F.col(c) * s).alias(c) for c in "xyz"])
+        part = cloud.nearest(scaled, origin).select("q", near(F.col("distance") / s, 9).alias("distance"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query(f"{_NN} SELECT count(*) AS n, {sql_near('avg(distance)')} AS mean, {sql_near('sqrt(avg(distance*distance))')} AS rms, {sql_near('max(distance)')} AS maximum, " + ", ".join(f"{sql_near(f'quantile_cont(distance, {p / 100})')} AS p{p}" for p in cloud.PERCENTILES) + f", {sql_near('100.0 * avg((distance <= 0.3)::INT)')} AS within_percent FROM d")
 def nn_stats(spark, sf_dir):
     s = cloud.distance_statistics(_distances(spark, sf_dir), 0.3)

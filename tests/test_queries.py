@@ -52,14 +52,29 @@ def test_nearest_is_exact(spark):
     at = lambda s: tuple(rnd.gauss(0, s) for _ in "xyz")
     q = [(i, *at(1)) for i in range(60)] + [(99, 500.0, 0.0, -3.0)]
     t = [at(1) for _ in range(80)]
-    got = {r.q: r.distance for r in cloud.nearest(spark.createDataFrame(q, "q long, x double, y double, z double"), spark.createDataFrame(t, "x double, y double, z double"), 0.2).collect()}
+    got = {r.q: r.distance for r in cloud.nearest(spark.createDataFrame(q, "q long, x double, y double, z double"), spark.createDataFrame(t, "x double, y double, z double")).collect()}
     assert set(got) == {r[0] for r in q}
     for i, *p in q:
         assert math.isclose(got[i], min(math.dist(p, x) for x in t), rel_tol=1e-12)
-    none = cloud.nearest(spark.createDataFrame(q[:2], "q long, x double, y double, z double"), spark.createDataFrame([], "x double, y double, z double"), 0.2)
+    none = cloud.nearest(spark.createDataFrame(q[:2], "q long, x double, y double, z double"), spark.createDataFrame([], "x double, y double, z double"))
     assert [r.distance for r in none.collect()] == [None, None]
 
 
+def test_distances_of_all_magnitudes(spark):
+    at = lambda rows: spark.createDataFrame(rows, "q long, x double, y double, z double")
+    for size in (1e-200, 1e200, 1e308, 5e-324, 1.0):
+        d = cloud.nearest(at([(1, 0.0, 0.0, 0.0), (2, 0.0, 0.0, 0.0)]), at([(0, size, 0.0, 0.0)]).drop("q"))
+        s = cloud.distance_statistics(d, size / 10 or 1.0).first()
+        assert s.n == 2 and s.mean == s.rms == s.maximum == s.p50 == s.p99 == size and s.within_percent == (100.0 if size == 5e-324 else 0.0)
+    mixed = cloud.nearest(at([(1, 0.0, 0.0, 0.0), (2, 1e200, 0.0, 1.0)]), at([(0, 1e-200, 0.0, 0.0), (0, 1e200, 0.0, 0.0)]).drop("q"))
+    assert {r.q: r.distance for r in mixed.collect()} == {1: 1e-200, 2: 1.0}
+    with pytest.raises(Exception, match="range"):
+        cloud.nearest(at([(1, -1e308, 0.0, 0.0)]), at([(0, 1e308, 0.0, 0.0)]).drop("q")).collect()
+    with pytest.raises(Exception, match="underflow"):
+        cloud.distance_statistics(spark.createDataFrame([(0.0,)] * 99_999 + [(5e-324,)], "distance double"), 5e-324).collect()
+    assert cloud.distance_statistics(spark.createDataFrame([], "distance double"), 1.0).count() == 0
+
+
 def test_overlaps_are_exact(spark):
     rnd = random.Random(2)
     rows = []
