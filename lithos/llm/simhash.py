@@ -140,6 +140,11 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 BANDS, ROWS, SLOTS, TURNS = 18, 6, 8, 6
 
 
+def _large(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the corpus: its size on disk, compressed, says too little for a broadcast."""
+    return df.hint("merge")
+
+
 def _minhash_params(n: int) -> tuple[np.ndarray, np.ndarray]:
     made = np.random.Generator(np.random.PCG64(2024)).integers(1, 2**63, size=(2, n), dtype=np.uint64)
     return made[0] | np.uint64(1), made[1]
@@ -223,7 +228,7 @@ def _across(named: DataFrame, turn: int, fits: Column, ordered: list[Column]) ->
     parts = named.groupBy("key", F.pmod(at, F.lit(SLOTS)).alias("part")).agg(F.min(F.struct(at.alias("at"), "x", "root")).alias("lo"), F.max(F.struct("central", "x", "root")).alias("hub"))
     parts = parts.select("key", F.explode(F.array_distinct(F.array(F.struct("lo.x", "lo.root"), F.struct("hub.x", "hub.root")))).alias("end"))
     parts = parts.select("key", F.col("end.x").alias("y"), F.col("end.root").alias("other"))
-    return named.join(parts, "key").filter((F.col("root") != F.col("other")) & fits).select(*ordered).distinct()
+    return named.join(_large(parts), "key").filter((F.col("root") != F.col("other")) & fits).select(*ordered).distinct()
 
 
 def _untested(sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
@@ -237,19 +242,19 @@ def _untested(sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame
     """
     each = sets.select("id", "n", F.explode("shingles").alias("shingle"))
     counts = materialize(each.groupBy("shingle").agg(F.count("*").alias("texts")).filter("texts > 1"), "counts")
-    ranked = each.join(counts, "shingle", "left").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("texts", F.lit(1)).alias("texts"), "shingle"))).alias("all"))
+    ranked = each.join(_large(counts), "shingle", "left").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("texts", F.lit(1)).alias("texts"), "shingle"))).alias("all"))
     first = (F.col("n") - F.ceil(similarity * F.col("n") - 1e-6) + 1).cast("int")
     heads = ranked.select("id", "n", F.posexplode(F.slice("all", F.lit(1), first)).alias("at", "s")).filter("s.texts > 1")
-    heads = heads.join(roots.withColumnRenamed("node", "id"), "id", "left")
+    heads = heads.join(_large(roots.withColumnRenamed("node", "id")), "id", "left")
     heads = materialize(heads.select("id", "n", F.coalesce("root", "id").alias("root"), "s.shingle", (F.col("n") - F.col("at")).alias("left")), "heads")
     held = heads.groupBy("shingle", "root").agg(F.count("*").alias("texts"))
     mixed = held.groupBy("shingle").agg(F.max(F.struct("texts", "root"))["root"].alias("main"), F.count("*").alias("groups")).filter("groups > 1")
-    mixed = materialize(heads.join(mixed.select("shingle", "main"), "shingle"), "mixed")
+    mixed = materialize(heads.join(_large(mixed.select("shingle", "main")), "shingle"), "mixed")
     x, y = mixed.filter("root <> main").alias("x"), mixed.alias("y")
     needed = similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-6
     cond = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.id") < F.col("y.id")))
     cond = cond & (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n")) & (F.least("x.left", "y.left") >= needed)
-    return x.join(y, cond).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    return x.join(_large(y), cond).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
 def similar_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5, similarity: float = 0.8, exact: bool = False) -> DataFrame:
@@ -281,49 +286,49 @@ def similar_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5, si
     # texts that share a fingerprint meet its first one; fingerprints within the radius meet by their first texts
     first = materialize(light.groupBy("fp").agg(F.min(some).alias("first")), "first")
     end = lambda fp, text: first.select(F.col("fp").alias(fp), F.col("first").alias(text))
-    balls = near_links(first).join(end("a", "x"), "a").join(end("b", "y"), "b").select("x", "y")
-    same = light.select("fp", some.alias("x")).join(end("fp", "y"), "fp").select("x", "y")
+    balls = near_links(first).join(_large(end("a", "x")), "a").join(_large(end("b", "y")), "b").select("x", "y")
+    same = light.select("fp", some.alias("x")).join(_large(end("fp", "y")), "fp").select("x", "y")
     banded = light.select(some.alias("x"), F.explode("bands").alias("key"))
     crowds = banded.groupBy("key").agg(F.count("*").alias("texts")).filter("texts > 1")
     mine = Window.partitionBy("x.id")  # a row for each band at most
-    shared = materialize(banded.join(crowds, "key").select("key", "x", F.sum("texts").over(mine).alias("central")), "shared")
+    shared = materialize(banded.join(_large(crowds), "key").select("key", "x", F.sum("texts").over(mine).alias("central")), "shared")
     ends = shared.groupBy("key").agg(F.min("x").alias("lo"), F.max(F.struct("central", "x")).alias("hub"))
-    met = shared.join(ends, "key").select("x", F.explode(F.array_distinct(F.array("lo", "hub.x"))).alias("y"))
+    met = shared.join(_large(ends), "key").select("x", F.explode(F.array_distinct(F.array("lo", "hub.x"))).alias("y"))
     fits = (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n")) & (F.col("x.id") != F.col("y.id"))
     ordered = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
     pairs = materialize(balls.unionByName(same).unionByName(met).filter(fits).select(*ordered).distinct(), "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(shared.select(F.col("x.id").alias("id")))
-    wanted = (light if exact else light.join(ids.distinct(), "id", "left_semi")).select("id", "n")
-    texts = _classed(docs, text_col).dropDuplicates(["id"]).join(wanted, "id")
+    wanted = (light if exact else light.join(_large(ids.distinct()), "id", "left_semi")).select("id", "n")
+    texts = _classed(docs, text_col).dropDuplicates(["id"]).join(_large(wanted), "id")
     sets = materialize(shingle_sets(texts, shingle).withColumn("n", F.size("shingles").cast("long")), "shingles")
     left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
 
     def verified(some_pairs: DataFrame) -> DataFrame:
-        found = some_pairs.join(left, "a").join(right, "b").filter(both >= similarity * (F.col("na") + F.col("nb") - both))
+        found = some_pairs.join(_large(left), "a").join(_large(right), "b").filter(both >= similarity * (F.col("na") + F.col("nb") - both))
         return materialize(found.select("a", "b"), "links")
 
     tested, links, turn, active = pairs, verified(pairs), 0, None
     roots = connected_components(links)
-    named = shared.join(roots.withColumnRenamed("node", "id"), F.col("x.id") == F.col("id"), "left").select("key", "x", "central", F.coalesce("root", "x.id").alias("root"))
+    named = shared.join(_large(roots.withColumnRenamed("node", "id")), F.col("x.id") == F.col("id"), "left").select("key", "x", "central", F.coalesce("root", "x.id").alias("root"))
     while turn < TURNS:
         active = _active(named, active)
         if active.isEmpty():
             break
         turn += 1
-        named = materialize(named.join(active.select("key"), "key"), "mixed")
-        more = materialize(_across(named, turn, fits, ordered).join(tested, ["a", "b"], "left_anti"), "pairs")
+        named = materialize(named.join(_large(active.select("key")), "key"), "mixed")
+        more = materialize(_across(named, turn, fits, ordered).join(_large(tested), ["a", "b"], "left_anti"), "pairs")
         found = verified(more)
         tested, links = tested.unionByName(more), links.unionByName(found)
         of = named.select(F.col("x.id").alias("id"), "root").distinct()
         end = lambda c: of.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))
-        joined = connected_components(found.join(end("a"), "a").join(end("b"), "b").select("ra", "rb"), "ra", "rb")
+        joined = connected_components(found.join(_large(end("a")), "a").join(_large(end("b")), "b").select("ra", "rb"), "ra", "rb")
         renamed = joined.select(F.col("node").alias("root"), F.col("root").alias("later"))
-        named = named.join(renamed, "root", "left").select("key", "x", "central", F.coalesce("later", "root").alias("root"))
+        named = named.join(_large(renamed), "root", "left").select("key", "x", "central", F.coalesce("later", "root").alias("root"))
     if turn:
         roots = connected_components(links)
-    rest = verified(materialize(_untested(sets, roots, similarity).join(tested, ["a", "b"], "left_anti"), "pairs"))
+    rest = verified(materialize(_untested(sets, roots, similarity).join(_large(tested), ["a", "b"], "left_anti"), "pairs"))
     if not rest.isEmpty():
         roots = connected_components(links.unionByName(rest))
     return roots.select(F.col("node").alias("id"), "root")
