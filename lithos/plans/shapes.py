@@ -78,37 +78,6 @@ def sample_budgets(spark, sf_dir):
 _FACES = "SELECT l_returnflag AS axis, round_even(l_discount / 0.01, 0)::BIGINT AS bucket, l_discount::DOUBLE AS coord, l_extendedprice::DOUBLE AS area FROM lineitem"
 
 
-@query(f"WITH f AS ({_FACES}), g AS (SELECT axis, bucket, count(*) AS faces, sum(area) AS area, sum(coord * greatest(area, 1e-9)) / greatest(sum(area), 1e-9) AS coord FROM f GROUP BY ALL) SELECT axis, faces, {sql_near('area', 2)} AS area, {sql_near('coord')} AS coordinate FROM g WHERE area / (SELECT sum(area) FROM f) >= 0.02 ORDER BY g.area DESC, axis, coord LIMIT 12")
-def plane_groups(spark, sf_dir):
-    """Faces in the same plane, of a share of all planar area; the twelve largest are the report."""
-    f = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("axis"), F.bround(F.col("l_discount") / 0.01).cast("long").alias("bucket"), F.col("l_discount").cast("double").alias("coord"), F.col("l_extendedprice").cast("double").alias("area"))
-    g = f.groupBy("axis", "bucket").agg(F.count("*").alias("faces"), F.sum("area").alias("area"), F.sum(F.col("coord") * F.greatest("area", F.lit(1e-9))).alias("w"))
-    g = g.join(F.broadcast(f.agg(F.sum("area").alias("all"))), F.lit(True)).filter(F.col("area") / F.col("all") >= 0.02)
-    g = g.withColumn("coordinate", F.col("w") / F.greatest("area", F.lit(1e-9))).orderBy(F.desc("area"), "axis", "coordinate").limit(12)
-    return g.select("axis", "faces", near("area", 2).alias("area"), near("coordinate").alias("coordinate"))
-
-
-@query("SELECT o_orderkey, count(*) AS edges, min(l_partkey) AS least FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
-def csr_adjacency(spark, sf_dir):
-    """Rows and ranges to edges: each face holds its start and count in the flat list of edges, ordered by face."""
-    flat = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_partkey")).alias("run"))
-    faces = table(spark, sf_dir, "orders").join(flat, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", F.slice("run", 1, F.size("run")).alias("run"))
-    return faces.select("o_orderkey", F.posexplode("run").alias("i", "edge")).groupBy("o_orderkey").agg(F.count("*").alias("edges"), F.min("edge").alias("least"))
-
-
-@query("SELECT o_custkey, count(DISTINCT l_partkey) AS parts FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
-def two_hop(spark, sf_dir):
-    hops = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    return hops.groupBy("o_custkey").agg(F.count_distinct("l_partkey").alias("parts"))
-
-
-@query("SELECT c_custkey, 'o' || n_nationkey || '.f' || c_custkey AS selector, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
-def assembly_star(spark, sf_dir):
-    """Occurrences by component, with the ids of the parts below the occurrence's own."""
-    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return c.select("c_custkey", F.concat(F.lit("o"), F.col("n_nationkey").cast("string"), F.lit(".f"), F.col("c_custkey").cast("string")).alias("selector"), "n_name")
-
-
 @query("SELECT n_nationkey, n, coalesce(sum(n) OVER (ORDER BY n_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM (SELECT n_nationkey, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1)")
 def rebase_offsets(spark, sf_dir):
     n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "customer"), F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy("n_nationkey").agg(F.count("c_custkey").alias("n"))
@@ -124,26 +93,6 @@ def label_aliases(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", name.alias("alias"))
 
 
-@query("SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN 'added' WHEN b.o_orderkey IS NULL THEN 'removed' ELSE 'moved' END AS change, round(coalesce(b.v, 0) - coalesce(a.v, 0), 2) AS delta FROM (SELECT o_orderkey, o_totalprice AS v FROM orders) a FULL JOIN (SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN -o_orderkey ELSE o_orderkey END AS o_orderkey, o_totalprice + (o_orderstatus = 'F')::INT AS v FROM orders) b ON a.o_orderkey = b.o_orderkey WHERE a.v IS DISTINCT FROM b.v")
-def manifest_diff(spark, sf_dir):
-    """Rows added, removed and moved between two versions of a table; in the second, urgent orders have new ids and filled ones moved."""
-    o = table(spark, sf_dir, "orders").withColumn("v", F.col("o_totalprice"))
-    renamed = F.when(F.col("o_orderpriority") == "1-URGENT", -F.col("o_orderkey")).otherwise(F.col("o_orderkey"))
-    a = o.select("o_orderkey", "v").alias("a")
-    b = o.select(renamed.alias("o_orderkey"), (F.col("v") + F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)).alias("v")).alias("b")
-    j = a.join(b, F.col("a.o_orderkey") == F.col("b.o_orderkey"), "full_outer").filter(~F.col("a.v").eqNullSafe(F.col("b.v")))
-    zero = F.lit(0.0)
-    return j.select(F.coalesce("a.o_orderkey", "b.o_orderkey").alias("o_orderkey"), F.when(F.col("a.o_orderkey").isNull(), "added").when(F.col("b.o_orderkey").isNull(), "removed").otherwise("moved").alias("change"), F.round(F.coalesce("b.v", zero) - F.coalesce("a.v", zero), 2).alias("delta"))
-
-
-@query("SELECT a.l_orderkey, round(sum(abs(a.l_quantity - b.l_quantity)), 2) AS moved FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 GROUP BY 1")
-def measure_pairs(spark, sf_dir):
-    """Distances between each line of an order and the next one, summed by order."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    a, b = li.alias("a"), li.withColumn("l_linenumber", F.col("l_linenumber") - 1).alias("b")
-    return a.join(b, ["l_orderkey", "l_linenumber"]).groupBy("l_orderkey").agg(F.round(F.sum(F.abs(F.col("a.l_quantity") - F.col("b.l_quantity"))), 2).alias("moved"))
-
-
 _LIMITS = [("FDM", 1.2, 45.0), ("SLS", 0.7, None), ("SLA", 0.5, 30.0), ("metal", 0.4, 45.0), ("MJF", 0.5, None)]
 _LSQL = ", ".join(f"('{p}', {w}, {a if a is not None else 'NULL'})" for p, w, a in _LIMITS)
 
