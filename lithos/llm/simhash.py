@@ -69,6 +69,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def _large(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the corpus: its size as planned (compressed, or before an explode) says too little for a broadcast."""
+    return df.hint("merge")
+
+
 def _half(fp: Column, half: int) -> Column:
     """Half 0 or 1 of a fingerprint, with the number of the half above it, as one key."""
     bits = F.shiftrightunsigned(fp, 32) if half else fp
@@ -103,7 +108,7 @@ def near_links(fps: DataFrame, col: str = "fp", dense: int = 256) -> DataFrame:
         cond = same[0]
         for s in same[1:]:
             cond = cond & s
-        return left.join(right, cond & (F.col("a") < F.col("b")) & near).select("a", "b")
+        return left.join(_large(right), cond & (F.col("a") < F.col("b")) & near).select("a", "b")
 
     if hot.isEmpty():
         return met(exact, variants, ["key"]).distinct()
@@ -140,11 +145,6 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 BANDS, ROWS, SLOTS, TURNS = 18, 6, 8, 6
 
 
-def _large(df: DataFrame) -> DataFrame:
-    """A side of a join that grows with the corpus: its size on disk, compressed, says too little for a broadcast."""
-    return df.hint("merge")
-
-
 def _minhash_params(n: int) -> tuple[np.ndarray, np.ndarray]:
     made = np.random.Generator(np.random.PCG64(2024)).integers(1, 2**63, size=(2, n), dtype=np.uint64)
     return made[0] | np.uint64(1), made[1]
