@@ -142,7 +142,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 # ---- whole-text similarity: what the corpus pipeline needs -----------------
 
-BANDS, ROWS, SLOTS, TURNS = 18, 6, 8, 6
+BANDS, ROWS, SLOTS, TURNS = 18, 6, 4, 6
 
 
 def _minhash_params(n: int) -> tuple[np.ndarray, np.ndarray]:
