@@ -264,3 +264,28 @@ def octet_honeycomb(p: Vec, size: tuple[float, float]) -> Column:
     turned = [(p[0] + p[1]) / math.sqrt(2), (p[0] - p[1]) / math.sqrt(2)]
     period = math.hypot(*size) * 0.5
     return F.least(square_honeycomb(p, size), *walls, *[wave_odd_positive(x, period) for x in turned])
+
+
+# ---- further mathematics -----------------------------------------------------
+
+#: Functions of one number, by the names of the field language; ``round`` goes up at the half, ``roundEven`` to the even.
+MATH = {
+    "radians": F.radians, "degrees": F.degrees, "asin": F.asin, "acos": F.acos, "sinh": F.sinh, "cosh": F.cosh, "tanh": F.tanh, "asinh": F.asinh, "acosh": F.acosh, "atanh": F.atanh,
+    "exp2": lambda x: F.pow(F.lit(2.0), x), "log2": F.log2, "inversesqrt": lambda x: 1.0 / F.sqrt(x), "trunc": lambda x: F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("double"),
+    "round": lambda x: F.floor(x + 0.5).cast("double"), "roundEven": lambda x: F.bround(x, 0),
+}
+
+
+def step(edge: Column, x: Column) -> Column:
+    return F.when(x < edge, 0.0).otherwise(1.0)
+
+
+def reflect(i: v.Vec, n: v.Vec) -> v.Vec:
+    """A direction mirrored at a plane of unit normal n."""
+    return v.sub(i, v.scale(n, 2.0 * v.dot(n, i)))
+
+
+def swizzle(p: v.Vec, names: str) -> v.Vec:
+    """Components by name, ``xyzw`` or ``rgba``, in any order and repeated."""
+    at = {c: i for group in ("xyzw", "rgba", "stpq") for i, c in enumerate(group)}
+    return tuple(p[at[c]] for c in names)

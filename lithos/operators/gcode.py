@@ -5,19 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The commands that count as moves and as heating, and those that are known.
+#: The commands that count as moves and as heating, those that are known, and the form of a word: a letter and a decimal number.
 MOVES = ["G0", "G1", "G2", "G3"]
 HEATING = ["M104", "M109", "M140", "M190"]
-KNOWN = [*MOVES, *HEATING, "G4", "G10", "G11", "G17", "G18", "G19", "G20", "G21", "G28", "G29", "G80", "G90", "G91", "G92", "M82", "M83", "M84", "M104", "M105", "M106", "M107", "M114", "M117", "M201", "M203", "M204", "M205", "M220", "M221", "M400"]
+KNOWN = """G0 G1 G2 G3 G4 G21 G28 G29 G90 G91 G92 M18 M73 M82 M83 M84 M104 M106 M107 M109 M117 M118
+M140 M190 M201 M203 M204 M205 M220 M221 M400 M500 M501 M900""".split()
+WORD = r"([A-Z])([-+]?(?:\d+(?:\.\d*)?|\.\d+))"
+
+
+def words(body: Column) -> Column:
+    """Letter to number, of repeated letters the last."""
+    letters, numbers = F.regexp_extract_all(body, F.lit(WORD), 1), F.regexp_extract_all(body, F.lit(WORD), 2)
+    names = F.array_distinct(letters)
+    last = F.transform(names, lambda n: F.element_at(numbers, (F.size(letters) + 1 - F.array_position(F.reverse(letters), n)).cast("int")).cast("double"))
+    return F.map_from_arrays(names, last)
 
 
 def parse(lines: DataFrame) -> DataFrame:
-    """Adds command (upper case, empty for a comment) and the last number behind each of X, Y, Z, E."""
+    """Adds command (upper case, empty for a comment), words (letter to number, behind the command) and those of X, Y, Z, E."""
     body = F.upper(F.trim(F.substring_index("text", ";", 1)))
     out = lines.withColumn("command", F.regexp_extract(body, r"^(\S*)", 1))
+    out = out.withColumn("words", words(F.regexp_replace(body, r"^\S*", "")))
     for axis in "XYZE":
-        found = F.regexp_extract_all(body, F.lit(axis + r"([-+]?(?:\d+(?:\.\d*)?|\.\d+))"), 1)
-        out = out.withColumn(axis.lower(), F.when(F.size(found) > 0, F.element_at(found, -1)).cast("double"))
+        out = out.withColumn(axis.lower(), F.try_element_at("words", F.lit(axis)))
     return out
 
 
@@ -62,12 +72,16 @@ def unknown_commands(rows: DataFrame, k: int = 12) -> DataFrame:
     return first.withColumn("_n", F.row_number().over(Window.partitionBy("program").orderBy("command"))).filter(F.col("_n") <= k).drop("_n")
 
 
-def findings(rows: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFrame:
-    """``(program, severity, code, line)``: moves out of bounds while absolute, relative mode, missing kinds of commands, unknown commands."""
+def findings(rows: DataFrame, bounds: dict[str, tuple[float, float]], programs: DataFrame | None = None) -> DataFrame:
+    """``(program, severity, code, line)``: moves out of bounds while absolute, relative mode, missing kinds of commands, unknown commands; of ``programs``, those without a line are empty."""
     move = F.col("command").isin(MOVES) & F.col("absolute")
     out = [F.when(move & ~F.col(a).between(lo, hi), F.lit(f"out_of_range_{a}")) for a, (lo, hi) in bounds.items()]
     far = rows.select("program", F.lit("error").alias("severity"), F.explode(F.array_compact(F.array(*out))).alias("code"), "line")
     rel = rows.filter("command = 'G91'").groupBy("program").agg(F.min("line").alias("line")).select("program", F.lit("warning").alias("severity"), F.lit("relative_positioning").alias("code"), "line")
     none = stats(rows).select("program", F.lit("error").alias("severity"), F.explode(F.array_compact(F.array(*[F.when(F.col(c) == 0, F.lit(f"no_{c}")) for c in ("commands", "moves", "extrusions", "heating")]))).alias("code"), F.lit(None).cast("long").alias("line"))
     odd = unknown_commands(rows).select("program", F.lit("warning").alias("severity"), F.lit("unknown_command").alias("code"), "line")
-    return far.unionByName(rel).unionByName(none).unionByName(odd)
+    out = far.unionByName(rel).unionByName(none).unionByName(odd)
+    if programs is None:
+        return out
+    empty = programs.select("program").distinct().join(rows.select("program").distinct(), "program", "left_anti")
+    return out.unionByName(empty.select("program", F.lit("error").alias("severity"), F.lit("empty_program").alias("code"), F.lit(None).cast("long").alias("line")))

@@ -170,17 +170,30 @@ def vector_algebra(spark, sf_dir):
     return points(spark, sf_dir).select("idx", near(v.length(v.sub(xyz(), q))).alias("distance"), near(v.cross(xyz(), q)[0]).alias("cross_x"), near(v.dot(xyz(), q)).alias("dot"))
 
 
-@query(f"SELECT idx, {sql_near('x+y+z+3')} AS trace, true AS ordered FROM (SELECT {XYZ} FROM embeddings)")
+_EIG = "SELECT vec_id AS idx, embedding[1]::DOUBLE + 1 AS a, embedding[2]::DOUBLE + 1 AS b, embedding[3]::DOUBLE + 1 AS c, embedding[4]::DOUBLE AS u, embedding[5]::DOUBLE AS w, embedding[6]::DOUBLE AS t FROM embeddings"
+
+
+@query(f"SELECT idx, {sql_near('a+b+c')} AS trace, {sql_near('a*a + b*b + c*c + 2*(u*u + w*w + t*t)')} AS squares, {sql_near('a*(b*c - t*t) - u*(u*c - t*w) + w*(u*t - b*w)')} AS determinant, true AS ordered FROM ({_EIG})")
 def symmetric_eigenvalues(spark, sf_dir):
+    """Sum, sum of squares and product settle the three values."""
     x, y, z = (F.col(c) + 1.0 for c in "xyz")
     e = v.symmetric_eigenvalues(x, y, z, F.col("u"), F.col("w"), F.col("t"))
-    return points(spark, sf_dir).select("idx", near(e[0] + e[1] + e[2]).alias("trace"), ((e[0] >= e[1] - 1e-9) & (e[1] >= e[2] - 1e-9)).alias("ordered"))
+    p = points(spark, sf_dir).select("idx", F.array(*e).alias("e")).select("idx", *[F.col("e")[i].alias(f"e{i}") for i in range(3)])
+    e = [F.col(f"e{i}") for i in range(3)]
+    return p.select("idx", near(e[0] + e[1] + e[2]).alias("trace"), near(e[0] ** 2 + e[1] ** 2 + e[2] ** 2).alias("squares"), near(e[0] * e[1] * e[2]).alias("determinant"), ((e[0] >= e[1] - 1e-9) & (e[1] >= e[2] - 1e-9)).alias("ordered"))
+
+
+_RPY = ["cos(z)*cos(y)", "cos(z)*sin(y)*sin(x) - sin(z)*cos(x)", "cos(z)*sin(y)*cos(x) + sin(z)*sin(x)", "sin(z)*cos(y)", "sin(z)*sin(y)*sin(x) + cos(z)*cos(x)", "sin(z)*sin(y)*cos(x) - cos(z)*sin(x)", "-sin(y)", "cos(y)*sin(x)", "cos(y)*cos(x)"]
 
 
-@query(f"SELECT idx, {sql_near('cos(z)*cos(y)')} AS m00, {sql_near('-sin(y)')} AS m20, {sql_near('1.0')} AS q_norm FROM (SELECT {XYZ} FROM embeddings)")
+@query("SELECT idx, " + ", ".join(f"{sql_near(m)} AS m{i}" for i, m in enumerate(_RPY)) + ", " + ", ".join(f"{sql_near(m)} AS q{i}" for i, m in enumerate(_RPY)) + f", {sql_near('1.0')} AS q_norm FROM (SELECT {XYZ} FROM embeddings)")
 def rpy_rotation(spark, sf_dir):
+    """The matrix, and the one that the quaternion stands for."""
     m, q = v.rpy_matrix(*xyz()), v.rpy_quaternion(*xyz())
-    return points(spark, sf_dir).select("idx", near(m[0]).alias("m00"), near(m[6]).alias("m20"), near(v.dot(tuple(q), tuple(q))).alias("q_norm"))
+    p = points(spark, sf_dir).select("idx", F.array(*m).alias("m"), F.array(*q).alias("q")).select("idx", "m", *[F.col("q")[i].alias(c) for i, c in enumerate("abcd")])
+    a, b, c, d = (F.col(n) for n in "abcd")
+    turned = [1 - 2 * (b * b + c * c), 2 * (a * b - c * d), 2 * (a * c + b * d), 2 * (a * b + c * d), 1 - 2 * (a * a + c * c), 2 * (b * c - a * d), 2 * (a * c - b * d), 2 * (b * c + a * d), 1 - 2 * (a * a + b * b)]
+    return p.select("idx", *[near(F.col("m")[i]).alias(f"m{i}") for i in range(9)], *[near(x).alias(f"q{i}") for i, x in enumerate(turned)], near(a * a + b * b + c * c + d * d).alias("q_norm"))
 
 
 _SRGB = "CASE WHEN c <= 0.04045 THEN c / 12.92 ELSE pow((c + 0.055) / 1.055, 2.4) END"
@@ -193,10 +206,12 @@ def colour_round_trip(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", near(lin).alias("linear"), near(v.linear_to_srgb(lin)).alias("back"))
 
 
-@query("SELECT count(*) AS n, 12.5::DOUBLE AS area FROM region")
+@query(f"SELECT idx, {sql_near('abs((x*w - u*y) + (u*t - z*w) + (z*y - x*t)) / 2')} AS triangle, {sql_near('abs(x - u) * abs(y - w)')} AS box FROM (SELECT {_SIX} FROM embeddings)")
 def polygon_area(spark, sf_dir):
-    ring = v.polygon_area(F.array(*[F.lit(float(x)) for x in (0, 5, 5, 0)]), F.array(*[F.lit(float(y)) for y in (0, 0, 5, 0)]))
-    return table(spark, sf_dir, "region").agg(F.count("*").alias("n"), F.max(ring).alias("area"))
+    """A triangle and a rectangle for each row."""
+    x, y, u, w, z, t = (F.col(c) for c in ("x", "y", "u", "w", "z", "t"))
+    p = points(spark, sf_dir).select("idx", F.array(x, u, z).alias("tx"), F.array(y, w, t).alias("ty"), F.array(x, u, u, x).alias("bx"), F.array(y, y, w, w).alias("by"))
+    return p.select("idx", near(v.polygon_area(F.col("tx"), F.col("ty"))).alias("triangle"), near(v.polygon_area(F.col("bx"), F.col("by"))).alias("box"))
 
 
 # ---- fields ----------------------------------------------------------------
