@@ -92,9 +92,9 @@ def format_conversations(events: DataFrame, loss_roles: tuple[str, ...] = ("assi
     long, meets in one task or one cell: a cell ends beyond 262,144
     characters. loss holds ``(start, end)`` code points of formatted, end
     exclusive, of the texts of ``loss_roles``. Segments and parts in order
-    give the conversation. Null turns come first, ties go by role and text,
+    give the conversation. Null turns come first, ties go by kind, role and text,
     repeated events count each; null roles and texts are empty. Null ids
-    form one conversation.
+    form one conversation; an empty table gives no row.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -142,7 +142,7 @@ def format_conversations(events: DataFrame, loss_roles: tuple[str, ...] = ("assi
     arrow = to_arrow_schema(schema)
     segment = F.floor(F.col("turn") / SEGMENT).cast("long")
     dealt = events.select("conv_id", segment.alias("segment"), "turn", "seq", "kind", "role", "text").repartition("conv_id", "segment")
-    ranked = dealt.sortWithinPartitions("conv_id", "segment", "turn", "seq", "role", "text")
+    ranked = dealt.sortWithinPartitions("conv_id", "segment", "turn", "seq", "kind", "role", "text")
     return ranked.select("conv_id", "segment", "turn", "kind", "role", "text").mapInArrow(run, schema)
 
 

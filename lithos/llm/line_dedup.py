@@ -63,6 +63,9 @@ def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str =
     by the least ratio such lines, so they are one array a host, joined once; the
     table of hosts is broadcast only if it has 100,000 lines at most. With
     ``extra``, the columns n_lines and n_dropped (lines with a word) follow.
+
+    An empty table stays empty; a long text costs time for its lines times the
+    common lines of its host that it holds.
     """
     found = materialize(boilerplate(docs, host_col, text_col, ratio, least, long, long_ratio), "boilerplate")
     host, drop = fresh(docs, "_host"), fresh(docs, "_drop")

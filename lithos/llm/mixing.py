@@ -58,7 +58,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     10,000 rows of a source; their word counts, added up in order, tell
     where each slice starts. Only the slice of the cut is sorted; every other
     row knows from its slice whether it is before or after. A null text has
-    no words; null sources are one source; repeated rows count each.
+    no words; null sources are one source; repeated rows count each; an empty
+    table gives no row.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(words(text)).cast("long").alias("size"), F.xxhash64(text).alias("page"))
@@ -93,7 +94,9 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """The mix as rows of ``docs``, with epoch (from 0) and taken, the words of the text to read, all or the first ones.
 
     Rows of which no word is taken go. Rows that agree in id, source and
-    text get the words of any of them in turn.
+    text get the shares of any of them in the order of a hash of all their
+    columns (but maps), so that reruns agree. An empty table stays empty; a long
+    text is read once for its words.
     """
     epoch, taken, nth, size = (fresh(docs, c) for c in ("epoch", "taken", "_nth", "_size"))
     ident = [F.col(id_col), F.col(source_col)]
@@ -107,7 +110,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     if repeated.isEmpty():
         rows = keyed.join(shares.drop(nth), key)
     else:
-        numbered = keyed.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0))))
+        numbered = keyed.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]))))
         rows = numbered.join(shares, [key, nth])
     steps = F.sequence(F.lit(0).cast("long"), F.ceil(F.col(taken) / F.col(size)).cast("long") - 1)
     out = rows.withColumn(epoch, F.explode(steps))

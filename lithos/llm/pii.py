@@ -179,7 +179,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     the patterns. To them come matches of the kind local that the span
     classifier holds for personal data with the chance ``certain`` at least,
     and that overlap none of the others. Positions are code points. Null and
-    empty texts have no spans; repeated rows have theirs each.
+    empty texts have no spans; repeated rows have theirs each; an empty table
+    gives no row.
     """
     found = materialize(candidates(docs, id_col, text_col), "candidates")
     weights, offset = train(found)

@@ -96,7 +96,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with all columns."""
+    """The rows of ``docs`` that ``judge`` keeps, with all columns.
+
+    All columns stay, whatever their names; an empty table stays empty.
+    """
     key = fresh(docs, "_key")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     bad = judge(docs, id_col, text_col, host_col).filter(~F.col("kept")).select(F.col("key").alias(key)).distinct()

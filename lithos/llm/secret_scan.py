@@ -99,6 +99,9 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     most, that is no digest, identifier or number and that no other span
     overlaps. Null and empty texts have no spans. The vocabulary is a path
     that every executor has; None: that of the installed package.
+
+    An empty table gives no row. Long texts are read whole, in time in proportion
+    to their length; long runs go to the tokenizer in pieces.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -130,6 +130,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A row comes back for each input row. component_id is the smallest doc_id
     of the group, null only if all its doc_ids are. Equal fingerprints are one
     node, so a group of copies of any size costs one; repeated rows stay.
+
+    An empty table gives no row. A long text is hashed in chunks, in time in
+    proportion to its length.
     """
     rows = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")

@@ -100,7 +100,9 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str,
     ``most``. Hosts without labelled pages, null urls and urls without
     ``://`` (host and path empty) have no score and are allowed. Repeated
     rows come back each, and a label counts for each row of its page; rows of
-    ``labels`` with a null outcome or page_id count nowhere. html isn't read.
+    ``labels`` with a null outcome or page_id count nowhere. html isn't read;
+    other columns stay out. Without labels no host has a score; empty pages
+    give no row. A port or a numeric host is part of its last labels.
     """
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     outcomes = rows.filter("host <> ''").join(labels.filter("bad is not null").select("page_id", "bad"), "page_id").select("host", "bad")

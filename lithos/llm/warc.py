@@ -286,7 +286,11 @@ def base32(hex_col: str):  # noqa: ANN201
 
 
 def round_trip(pages: DataFrame, least: int = 0, folder: str | None = None) -> DataFrame:
-    """The records of ``read_archives`` after ``write_archives`` of all ``pages``; page ids in their own type."""
+    """The records of ``read_archives`` after ``write_archives`` of all ``pages``; page ids in their own type.
+
+    Empty pages give no record and no row; rows of equal page_id come back each. A
+    payload of any length is one record, held by one task.
+    """
     folder = folder or new_path(pages.sparkSession, "warc")
     kind = pages.schema["page_id"].dataType
     manifest = write_archives(with_revisits(pages, least), folder)

@@ -145,3 +145,25 @@ def test_pipeline_against_brute_force(spark, sf):
     hits = decontaminate.digests(decontaminate.find_windows(clean, spark.read.parquet(f"{sf}/benchmark.parquet"))).filter("contaminated").count()
     assert hits == 0 and set(left) <= set(groups) and all(r.n_chars == len(r.text) for r in left.values())
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_empty_and_clashing_pages(spark):
+    from lithos.llm import url_filter, warc
+
+    schema = "page_id long, url string, html string, host string, path string, payload string"
+    none = spark.createDataFrame([], schema)
+    labels = spark.createDataFrame([], "page_id long, bad int")
+    assert warc.round_trip(none.select("page_id", "url", "html"), least=0).count() == 0
+    assert url_filter.judge_urls(none, labels).count() == 0
+    some = spark.createDataFrame([(1, "http://a.com/x", "<p>", "h", "p", "y"), (2, None, None, None, None, None), (2, "http://h" + "o" * 50_000 + ".net/es/", "", "h", "p", "y")], schema)
+    got = sorted((r.page_id, r.host or "", r.rule or "", r.verdict) for r in url_filter.judge_urls(some, labels).collect())
+    assert got == [(1, "a.com", "com/", "allow"), (2, "", "", "allow"), (2, "h" + "o" * 50_000 + ".net", "net/es/", "block")]
+
+
+def test_long_turns(spark):
+    from lithos.llm import chat_format
+
+    text = "[INST] \\ </s> " * 40_000
+    events = spark.createDataFrame([(1, 0, 0, "message", "user", "q", "x"), (1, 1, 0, "message", "assistant", text, "x"), (1, 2, 0, "message", "user", None, "x")], "conv_id long, turn long, seq long, kind string, role string, text string, formatted string")
+    d = chat_format.digests(chat_format.format_conversations(events)).first()
+    assert (d.n_turns, d.loss_chars) == (3, len(text))
