@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import router
 from ..functions import text as tx
 from ..registry import query, table
 
@@ -50,17 +51,45 @@ def status_aggregate(spark, sf_dir):
     return j.groupBy("source").agg(F.get(names, F.max(rank)).alias("status"))
 
 
-_ROUTES = [("repair", ["fix", "error", "the"]), ("question", ["what", "was", "and"]), ("other", [])]
+_REQUESTS = [
+    ("Rebuild the lid.", "operate", "scoped"), ("How do I rebuild the lid?", "read-only", "none"), ("How would it look? Rebuild it.", "operate", "scoped"), ("Could you tell why, and repair it?", "operate", "scoped"), ("Should we repair it?", "read-only", "none"),
+    ("Inspect the lid", "read-only", "none"), ("Inspect and repair the lid, read-only", "read-only", "none"), ("Don\u2019t worry, look at this build", "fallback", "none"), ("Provision a box, then align the parts", "linux-open-source", "scoped"), ("Align and combine both", "stack-selection", "scoped"),
+    ("A mesh-first lid", "read-only", "none"), ("Rebuilding", "fallback", "none"), ("\uff26\uff29\uff38 it", "operate", "scoped"), ("", "fallback", "none"), ("Look; build", "operate", "scoped"), ("Why the export failed", "read-only", "none"),
+]
 
 
-@query("WITH w AS (SELECT conv_id, turn, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS w FROM conversations) SELECT conv_id, turn, CASE WHEN len(list_intersect(w, ['fix', 'error', 'the'])) > 0 THEN 'repair' WHEN len(list_intersect(w, ['what', 'was', 'and'])) > 0 THEN 'question' ELSE 'other' END AS route FROM w")
+@query("SELECT p_partkey, route, mutation FROM part JOIN (VALUES " + ", ".join(f"({i}, '{r}', '{m}')" for i, (_, r, m) in enumerate(_REQUESTS)) + f") v(i, route, mutation) ON p_partkey % {len(_REQUESTS)} = i")
 def route_text(spark, sf_dir):
-    """The first rule of which a word occurs."""
-    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), 0)
-    route = F.lit("other")
-    for name, terms in reversed(_ROUTES[:-1]):
-        route = F.when(F.arrays_overlap("w", F.array(*map(F.lit, terms))), name).otherwise(route)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", words.alias("w")).select("conv_id", "turn", route.alias("route"))
+    """What requests ask for, by the precedence of the rules."""
+    texts = F.array(*[F.lit(t) for t, _, _ in _REQUESTS])
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.get(texts, (F.col("p_partkey") % len(_REQUESTS)).cast("int")).alias("text"))
+    return router.route(rows, "text").select("p_partkey", "route", "mutation")
+
+
+_ASSESS = """SELECT s_suppkey AS component, CASE s_suppkey % 10 WHEN 0 THEN 'missing' WHEN 1 THEN 'unknown' WHEN 2 THEN 'unknown' WHEN 3 THEN 'incompatible' WHEN 4 THEN 'tested' WHEN 5 THEN 'present_unverified' WHEN 6 THEN 'present_unverified' WHEN 7 THEN 'tested' WHEN 8 THEN 'present_unverified' ELSE 'unknown' END AS status FROM supplier"""
+
+
+def _assessed(spark, sf_dir):
+    k = F.col("s_suppkey")
+    m = k % 10
+    base = table(spark, sf_dir, "supplier")
+    found = base.select(k.alias("component"), F.when(m == 0, "missing").otherwise("detected").alias("state"), F.lit("1.2").alias("version"), m.isin(4, 7).alias("verified"))
+    declared = base.filter(m != 1).select(k.alias("component"), (m == 2).alias("deployment"), F.when(m.isin(7, 8), "1.2").otherwise("9").alias("locked"))
+    seen = base.select(k.alias("component"), F.when(m == 3, "incompatible").when(m.isin(4, 5), "tested").when(m == 6, "probe_only").otherwise("tested").alias("kind"), F.when(m.isin(3, 4, 5, 6), "1.2").otherwise("1.1").alias("version"))
+    return router.assess(found, declared, seen)
+
+
+@query(_ASSESS)
+def compatibility(spark, sf_dir):
+    return _assessed(spark, sf_dir).select("component", "status")
+
+
+@query(f"WITH a AS ({_ASSESS}), r AS (SELECT DISTINCT l_orderkey AS route, CASE WHEN l_orderkey % 50 = 0 THEN -1 WHEN l_orderkey % 3 = 0 THEN 4 + 3 * (l_suppkey % 2) WHEN l_orderkey % 3 = 1 THEN 4 + l_suppkey % 3 ELSE l_suppkey END AS component FROM lineitem) SELECT route, CASE WHEN bool_or(status IS NULL) THEN 'unknown' WHEN bool_or(status = 'incompatible') THEN 'blocked_incompatible' WHEN bool_or(status = 'missing') THEN 'blocked_missing' WHEN bool_or(status = 'unknown') THEN 'unknown' WHEN bool_or(status = 'present_unverified') THEN 'available_unverified' ELSE 'available' END AS status FROM r LEFT JOIN a USING (component) GROUP BY route")
+def route_compatibility(spark, sf_dir):
+    """An order is a route that requires the suppliers of its lines."""
+    o, s = F.col("l_orderkey"), F.col("l_suppkey")
+    part = F.when(o % 50 == 0, -1).when(o % 3 == 0, 4 + 3 * (s % 2)).when(o % 3 == 1, 4 + s % 3).otherwise(s)
+    return router.route_status(table(spark, sf_dir, "lineitem").select(o.alias("route"), part.cast("long").alias("component")).distinct(), _assessed(spark, sf_dir))
 
 
 _P = {n: p.replace("'", "''") for n, p in tx.PRIVATE.items()}
