@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -69,6 +70,38 @@ def fingerprint(points: DataFrame) -> DataFrame:
     return points.agg(F.count("*").alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in "xyz" for f in (F.min, F.max)])
 
 
+def canonical_sha256(points: DataFrame, chunk: int = 4096) -> DataFrame:
+    """``(n, sha256)`` of all points as one stream of lines in the order of idx.
+
+    Lines are made and joined in runs of ``chunk`` points, in parallel; the
+    runs, sorted, then stream through one hash in one task, which holds one
+    batch of them at a time: the digest is serial by definition.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        digest, n = hashlib.sha256(), 0
+        for batch in batches:
+            for text, count in zip(batch["text"], batch["n"], strict=True):
+                digest.update(text.encode("ascii"))
+                n += int(count)
+        yield pd.DataFrame({"n": [n], "sha256": [digest.hexdigest()]})
+
+    line = F.concat_ws(" ", canonical("x"), canonical("y"), canonical("z"))
+    runs = points.select("idx", line.alias("t")).groupBy(F.floor(F.col("idx") / chunk).alias("run")).agg(F.array_sort(F.collect_list(F.struct("idx", "t"))).alias("l"))
+    texts = runs.select("run", F.concat(F.array_join(F.transform("l", lambda x: x["t"]), "\n"), F.lit("\n")).alias("text"), F.size("l").alias("n"))
+    return texts.repartition(1).sortWithinPartitions("run").select("text", "n").mapInPandas(run, "n long, sha256 string")
+
+
+def sample_report(points: DataFrame, k: int, role: str = "measurement", seed: int = 0, mask: dict | None = None) -> DataFrame:
+    """One row on ``hash_rank_sample``: method, counts, coverage in per cent, bounds of the sample."""
+    p = tuple(F.col(c) for c in "xyz")
+    counts = points.agg(F.count("*").alias("source_count"), F.count(F.when(mask_column(mask, p), 1)).alias("eligible_count"))
+    kept = hash_rank_sample(points, k, role, seed, mask)
+    facts = fingerprint(kept).withColumnRenamed("n", "sample_count")
+    method = F.lit("masked-hash-rank") if mask else F.when(F.col("eligible_count") <= k, "full").otherwise("hash-rank")
+    return counts.join(F.broadcast(facts), F.lit(True)).withColumn("method", method).withColumn("coverage_percent", 100.0 * F.col("eligible_count") / F.col("source_count"))
+
+
 def merkle_fingerprint(points: DataFrame, chunk: int = 4096) -> DataFrame:
     """Order-dependent hash of the points: SHA-256 of runs of ``chunk`` points by idx, then of runs of hashes, until one is left.
 

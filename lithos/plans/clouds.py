@@ -38,6 +38,20 @@ def cloud_fingerprint(spark, sf_dir):
     return cloud.fingerprint(points(spark, sf_dir))
 
 
+_LINE = " || ' ' || ".join(f"CASE WHEN {c} = 0 THEN '0' ELSE printf('%.17g', {c}) END" for c in "xyz")
+
+
+@query(f"SELECT count(*) AS n, sha256(string_agg({_LINE} || chr(10), '' ORDER BY idx)) AS sha256 FROM (SELECT {XYZ} FROM embeddings)")
+def cloud_stream_hash(spark, sf_dir):
+    return cloud.canonical_sha256(points(spark, sf_dir), 100)
+
+
+@query(f"WITH p AS (SELECT {XYZ} FROM embeddings), e AS (SELECT * FROM p WHERE {MASK_SQL}), s AS (SELECT * FROM e ORDER BY sha256('{cloud.ALGORITHM}' || chr(0) || 'display' || chr(0) || '3' || chr(0) || idx || chr(0) || {_LINE}), idx LIMIT 40) SELECT 'masked-hash-rank' AS method, (SELECT count(*) FROM p) AS source_count, (SELECT count(*) FROM e) AS eligible_count, count(*) AS sample_count, {sql_near('100.0 * (SELECT count(*) FROM e) / (SELECT count(*) FROM p)')} AS coverage_percent, min(x) AS min_x, max(z) AS max_z FROM s")
+def sample_report(spark, sf_dir):
+    r = cloud.sample_report(points(spark, sf_dir), 40, "display", 3, MASK)
+    return r.select("method", "source_count", "eligible_count", "sample_count", near("coverage_percent").alias("coverage_percent"), "min_x", "max_z")
+
+
 @query()
 def cloud_merkle_fingerprint(spark, sf_dir):
     return cloud.merkle_fingerprint(points(spark, sf_dir))
