@@ -79,20 +79,22 @@ def link_poses(joints: DataFrame) -> DataFrame:
     """
     moved = F.when(F.col("type").isin("revolute", "continuous"), turn(F.col("axis"), F.col("value"))).when(F.col("type") == "prismatic", slide(F.col("axis"), F.col("value"))).otherwise(identity())
     step = joints.withColumn("_move", moved).select("robot", F.col("child").alias("link"), F.col("parent").alias("up"), product(F.col("origin"), F.col("_move")).alias("pose"))
-    now = checkpointed(step)
-    roots = now.select("robot", F.col("up").alias("link")).distinct().join(now.select("robot", "link"), ["robot", "link"], "left_anti")
-    done = checkpointed(roots)
-    for _ in range(64):
-        above = now.select("robot", F.col("link").alias("up"), F.col("up").alias("_up"), F.col("pose").alias("_pose"))
-        hit = now.join(above, ["robot", "up"], "left")
-        if hit.filter("_up is not null").isEmpty():
-            break
-        joined = hit.select("robot", "link", F.coalesce("_up", "up").alias("up"), F.when(F.col("_up").isNull(), F.col("pose")).otherwise(product(F.col("_pose"), F.col("pose"))).alias("pose"))
-        now = checkpointed(joined)
-        if now.join(done.withColumnRenamed("link", "up"), ["robot", "up"], "left_anti").isEmpty():
+    step = checkpointed(step)
+    roots = checkpointed(step.select("robot", F.col("up").alias("link")).distinct().join(step.select("robot", "link"), ["robot", "link"], "left_anti"))
+    marks = roots.select("robot", F.col("link").alias("up"), F.lit(True).alias("ended"))
+    now = checkpointed(step.join(marks, ["robot", "up"], "left"))
+    ended = 0
+    while True:
+        # of links on their way to a root some arrive in every round; if none does, the rest go in circles
+        arrived = now.filter("ended").count()
+        if arrived == ended or arrived == now.count():
             break
-    ended = now.join(done.withColumnRenamed("link", "up"), ["robot", "up"]).select("robot", "link", F.col("up").alias("root"), "pose")
-    return ended.unionByName(done.select("robot", "link", F.col("link").alias("root"), identity().alias("pose")))
+        ended = arrived
+        above = now.select("robot", F.col("link").alias("up"), F.col("up").alias("_up"), F.col("pose").alias("_pose"))
+        moved = now.filter("ended is null").drop("ended").join(above, ["robot", "up"]).select("robot", "link", F.col("_up").alias("up"), product(F.col("_pose"), F.col("pose")).alias("pose")).join(marks, ["robot", "up"], "left")
+        now = checkpointed(now.filter("ended").select("robot", "up", "link", "pose", "ended").unionByName(moved))
+    found = now.filter("ended").select("robot", "link", F.col("up").alias("root"), "pose")
+    return found.unionByName(roots.select("robot", "link", F.col("link").alias("root"), identity().alias("pose")))
 
 
 def sample_track(keys: DataFrame, times: DataFrame, loop: float | None = None) -> DataFrame:
