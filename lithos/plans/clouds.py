@@ -268,12 +268,50 @@ def tpms(spark, sf_dir):
     return grid(spark).select("i", "j", "k", near(fl.gyroid(xyz(), one), 5).alias("gyroid"), near(fl.schwarz(xyz(), one), 5).alias("schwarz"), near(fl.iwp(xyz(), one), 5).alias("iwp"))
 
 
-@query()
+def _cyclic(term: str) -> str:
+    """Sum of a term over the three cyclic choices of axes I, J, K."""
+    return "(" + " + ".join(term.replace("I", a).replace("J", b).replace("K", c) for a, b, c in ("xyz", "yzx", "zxy")) + ")"
+
+
+_tri = lambda c, p=1.0: f"({p} * 0.5 - abs(({c}) + {p} * 0.5 - {p} * floor((({c}) + {p} * 0.5) / {p}) - {p} * 0.5))"
+_mid = lambda c, p: f"(({c}) + {p} * 0.5 - {p} * floor((({c}) + {p} * 0.5) / {p}) - {p} * 0.5)"
+_SQUARE = f"least({_tri('x')}, {_tri('y', 0.8)})"
+_PERIODIC = {
+    "diamond": f"(sx*sy*sz + {_cyclic('sI*cJ*cK')}) * 3 / (12 * sqrt(8.0))", "lidinoid": f"({_cyclic('sK*cJ*s2I')} - {_cyclic('c2I*c2J')}) * 3 / 72", "neovius": "(-(cx + cy + cz) - 4 / 3.0 * cx * cy * cz) * 3 / 52",
+    "split_p": f"{_cyclic('-1.1*s2I*cJ*sK - 0.2*s2I*c2I - 0.4*c2I')} * 3 / 36", "cubic": f"least({_tri('x')}, {_tri('y')}, {_tri('z')})", "square": _SQUARE,
+    "reinforced": f"least({_SQUARE}, abs({_mid('x', 1.0)} * cos(pi() / 4) + {_mid('y', 0.8)} * sin(pi() / 4)))", "diagonal": f"least(abs({_mid('x', 1.8)} * 0.8 + {_mid('y', 1.8)}), abs({_mid('x', 1.8)} * 0.8 - {_mid('y', 1.8)})) / sqrt(1.64)",
+    "octet": f"least({_SQUARE}, {_tri('x - 0.5')}, {_tri('y - 0.4', 0.8)}, {_tri('(x + y) / sqrt(2.0) - sqrt(1.64) / 4', '(sqrt(1.64) / 2)')}, {_tri('(x - y) / sqrt(2.0) - sqrt(1.64) / 4', '(sqrt(1.64) / 2)')})",
+}
+_WAVES = ", ".join(f"sin({m} * pi() * {c}) AS s{n}{c}, cos({m} * pi() * {c}) AS c{n}{c}" for c in "xyz" for m, n in ((2, ""), (4, "2")))
+
+
+@query(f"SELECT i, j, k, {', '.join(f'{sql_near(q)} AS {n}' for n, q in _PERIODIC.items())} FROM (SELECT *, {_WAVES} FROM ({_GRID}))")
 def periodic_fields(spark, sf_dir):
-    """The other surfaces and lattices, of which tests hold values."""
+    """The other surfaces and lattices."""
     one, two = (1.0, 1.0, 1.0), (1.0, 0.8)
     made = {"diamond": fl.diamond(xyz(), one), "lidinoid": fl.lidinoid(xyz(), one), "neovius": fl.neovius(xyz(), one), "split_p": fl.split_p(xyz(), one), "cubic": fl.cubic_grid(xyz(), one), "square": fl.square_honeycomb(xyz(), two), "reinforced": fl.reinforced_honeycomb(xyz(), two), "diagonal": fl.diagonal_honeycomb(xyz(), two), "octet": fl.octet_honeycomb(xyz(), two)}
-    return grid(spark).select("i", "j", "k", *[near(c, 9).alias(n) for n, c in made.items()])
+    return grid(spark).select("i", "j", "k", *[near(c).alias(n) for n, c in made.items()])
+
+
+_RHO, _ON = "sqrt(x*x + y*y)", "greatest(-1, least(1, z))"
+_PRIMITIVES = {
+    "box": "sqrt(pow(greatest(abs(x-0.1)-0.5,0),2) + pow(greatest(abs(y)-1,0),2) + pow(greatest(abs(z)-0.25,0),2)) + least(greatest(abs(x-0.1)-0.5, abs(y)-1, abs(z)-0.25), 0)", "plane": "(x - 1 + y + z) / sqrt(3.0)",
+    "segment": f"sqrt(x*x + y*y + pow(z - {_ON}, 2))", "axis": "sqrt(pow(x - 0.5, 2) + y*y)", "cylinder": "sqrt(pow(x - 0.5, 2) + y*y) - 0.3", "capsule": f"sqrt(x*x + y*y + pow(z - {_ON}, 2)) - 0.2", "cone_capsule": f"sqrt(x*x + y*y + pow(z - {_ON}, 2)) - (0.8 - 0.25 * ({_ON} + 1))",
+    "cone": f"{_RHO} - (1 - z) * tan(0.5)", "capped_cone": f"greatest({_RHO} - (1 - z) * 0.25 - 0.3, -z - 1, z - 1)", "line2": "sqrt(pow(x - greatest(-1, least(1, x)), 2) + y*y)", "plane2": "(x + y - 0.5) / sqrt(2.0)",
+    "turned_x": "0.2 + (x - 0.2) * cos(0.5) - y * sin(0.5)", "turned_y": "(x - 0.2) * sin(0.5) + y * cos(0.5)", "unrolled": "atan2(y, x) * 3 / (2 * pi())",
+}
+
+
+@query(f"SELECT i, j, k, {', '.join(f'{sql_near(q)} AS {n}' for n, q in _PRIMITIVES.items())} FROM ({_GRID})")
+def field_primitives(spark, sf_dir):
+    p, lo, hi, up = xyz(), v.vec(0, 0, -1), v.vec(0, 0, 1), v.vec(0, 0, 2)
+    side, turned = v.vec(0.5, 0, 0), fl.rotate_axis(p, v.vec(0.2, 0, 0), up, 0.5)
+    made = {
+        "box": fl.box(p, v.vec(1, 2, 0.5), v.vec(0.1, 0, 0)), "plane": fl.plane(p, v.vec(1, 0, 0), v.vec(2, 2, 2)), "segment": fl.segment(p, lo, hi), "axis": fl.axis(p, side, up), "cylinder": fl.cylinder(p, side, up, 0.3), "capsule": fl.capsule(p, lo, hi, 0.2),
+        "cone_capsule": fl.cone_capsule(p, lo, hi, 0.8, 0.3), "cone": fl.cone(p, hi, v.vec(0, 0, -3), 0.5), "capped_cone": fl.capped_cone(p, lo, hi, 0.8, 0.3), "line2": fl.segment(p[:2], v.vec(-1, 0), v.vec(1, 0)), "plane2": fl.plane(p[:2], v.vec(0.5, 0), v.vec(1, 1)),
+        "turned_x": turned[0], "turned_y": turned[1], "unrolled": fl.remap_cylindrical(p, 3)[1],
+    }
+    return grid(spark).select("i", "j", "k", *[near(c).alias(n) for n, c in made.items()])
 
 
 @query(f"""SELECT i, j, k, {sql_near('0.25 - abs((x + 0.5 - floor(x + 0.5)) - 0.5)')} AS wave, {sql_near('x + 0.5 - floor(x + 0.5) - 0.5')} AS centered, {sql_near('least(greatest((x+1)*2-1, -1), 1)')} AS ramp, {sql_near('least(greatest(x,0),1)*least(greatest(x,0),1)*(3-2*least(greatest(x,0),1))')} AS smooth FROM ({_GRID})""")
