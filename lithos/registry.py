@@ -27,5 +27,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-for _name in ("clouds", "shapes", "topology", "robots", "drawings", "documents", "frames", "extras", "programs", "graphs", "catalogs"):
+for _name in ("clouds", "shapes", "topology", "robots", "drawings", "documents", "frames", "contracts", "extras", "programs", "graphs", "catalogs"):
     import_module(f"lithos.plans.{_name}")
