@@ -20,6 +20,8 @@ from .prefix import running_totals
 KINDS = {"occurrence": "o", "shape": "s", "face": "f", "edge": "e", "vertex": "v"}
 #: Relation, the kind that holds the ranges, the kind it points to.
 RELATIONS = {"faceEdge": ("face", "edge"), "edgeFace": ("edge", "face"), "edgeVertex": ("edge", "vertex"), "vertexEdge": ("vertex", "edge")}
+#: Shares in which the occurrences of one component meet its counts.
+SHARES = 8
 
 
 def three(c: Column | str) -> v.Vec:
@@ -92,10 +94,10 @@ def place(rows: DataFrame, matrix: str = "transform") -> DataFrame:
     return rows.withColumns({"center": point("center"), "normal": way("normal"), "lo": array(lo), "hi": array(hi), "params": F.when(p.isNotNull(), params)})
 
 
-def entity_id(occurrence: Column, local: Column, letter: Column, ordinal: Column) -> Column:
-    """``o1.12.f19`` from the row's ordinal, else from the end of its own id; null if it has neither."""
+def entity_name(local: Column, letter: Column, ordinal: Column) -> Column:
+    """``f19`` from the row's ordinal (a whole number), else from the end of its own id; null if it has neither. It holds no dot."""
     tail = F.element_at(F.split(local, r"\."), -1)
-    return F.when(ordinal.isNotNull(), F.concat(occurrence, F.lit("."), letter, ordinal.cast("string"))).when(F.length(tail) > 0, F.concat(occurrence, F.lit("."), tail))
+    return F.when(ordinal.isNotNull(), F.concat(letter, ordinal.cast("string"))).when(F.length(tail) > 0, tail)
 
 
 def merge_assembly(occurrences: DataFrame, entities: DataFrame, flat: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -104,8 +106,11 @@ def merge_assembly(occurrences: DataFrame, entities: DataFrame, flat: DataFrame)
     Ids, ranges, row numbers and shape names are rebased as the tables of the
     components are set one after the other in order of seq; rows that cannot
     be named are left out, their component's counts stay. Of equal ids the
-    first is ``first``. Entities join on the component, occurrences of one hot
-    component are left to skew splitting.
+    first is ``first``. An id is its occurrence and a name without a dot, so
+    equal ids are looked for in the component's own table, and among all rows
+    only where several occurrences bear one name. Tables of components can be
+    large whatever their files' size says: they are merge-joined, never
+    broadcast; occurrences of one hot component are left to skew splitting.
     """
     letter = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])[F.col("kind")]
     local = entities.filter("kind <> 'occurrence'").withColumn("_named", F.col("ordinal").isNotNull() | (F.length(F.element_at(F.split("id", r"\."), -1)) > 0))
@@ -113,26 +118,35 @@ def merge_assembly(occurrences: DataFrame, entities: DataFrame, flat: DataFrame)
     sizes = local.groupBy("comp").agg(*[F.sum(F.when((F.col("kind") == k) & F.col("_named"), 1).otherwise(0)).alias(f"n_{k}") for k in kinds], *[F.sum(F.when(F.col("kind") == k, 1).otherwise(0)).alias(f"all_{k}") for k in kinds])
     spans = flat.groupBy("comp").agg(*[F.sum(F.when(F.col("relation") == r, 1).otherwise(0)).alias(f"n_{r}") for r in RELATIONS])
     counted = [f"n_{x}" for x in (*kinds, *RELATIONS)]
-    placed = occurrences.join(sizes, "comp").join(spans, "comp", "left").na.fill(0, counted)
+    # the counts of a component are one row, which each share of its occurrences meets
+    counts = sizes.join(spans.hint("merge"), "comp", "left").withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    placed = occurrences.withColumn("_share", F.pmod(F.hash("seq"), F.lit(SHARES))).join(counts.hint("merge"), ["comp", "_share"]).drop("_share").na.fill(0, counted)
     based = running_totals(placed, ["seq"], {f"b_{c[2:]}": c for c in counted})
     # a row's place among the rows of its component that have a name
     slot = Window.partitionBy("comp", "kind").orderBy("row")  # one component's table
-    rows = local.filter("_named").withColumn("_slot", F.row_number().over(slot) - 1)
+    rows = local.filter("_named").withColumns({"_slot": F.row_number().over(slot) - 1, "_name": entity_name(F.col("id"), letter, F.col("ordinal"))})
+    rows = rows.withColumn("_head", F.min("_slot").over(Window.partitionBy("comp", "kind", "_name")))
+    shapes = rows.filter("kind = 'shape'").select("comp", F.col("id").alias("shape"), F.col("_name").alias("_shape"))
+    rows = rows.withColumnRenamed("id", "local_id").join(shapes.hint("merge"), ["comp", "shape"], "left")
     per = F.create_map(*[x for k in kinds for x in (F.lit(k), F.col(f"b_{k}"))])[F.col("kind")]
-    full = rows.join(based, "comp").withColumn("local_id", F.col("id"))
-    full = full.withColumns({
-        "id": entity_id(F.col("occ"), F.col("local_id"), letter, F.col("ordinal")), "row": per + F.col("_slot"),
-        "face_start": F.when(F.col("kind") == "shape", F.col("face_start") + F.col("b_face")).when(F.col("kind") == "edge", F.col("face_start") + F.col("b_edgeFace")),
-        "edge_start": F.when(F.col("kind") == "shape", F.col("edge_start") + F.col("b_edge")).when(F.col("kind") == "face", F.col("edge_start") + F.col("b_faceEdge")).when(F.col("kind") == "vertex", F.col("edge_start") + F.col("b_vertexEdge")),
-        "vertex_start": F.when(F.col("kind") == "edge", F.col("vertex_start") + F.col("b_edgeVertex")),
-    })
-    shapes = full.filter("kind = 'shape'").select("seq", F.col("local_id").alias("shape"), F.col("id").alias("_shape"))
-    full = place(full.join(shapes, ["seq", "shape"], "left").withColumn("shape", F.coalesce("_shape", "shape")))
-    firsts = full.groupBy("kind", "id").agg(F.min("row").alias("_first"))
-    merged = full.join(firsts, ["kind", "id"]).withColumn("first", F.col("row") == F.col("_first"))
+
+    def rebased(part: DataFrame) -> DataFrame:
+        return part.join(rows.hint("merge"), "comp").withColumns({
+            "id": F.concat("occ", F.lit("."), "_name"), "row": per + F.col("_slot"), "shape": F.coalesce(F.concat("occ", F.lit("."), "_shape"), "shape"), "_first": per + F.col("_head"),
+            "face_start": F.when(F.col("kind") == "shape", F.col("face_start") + F.col("b_face")).when(F.col("kind") == "edge", F.col("face_start") + F.col("b_edgeFace")),
+            "edge_start": F.when(F.col("kind") == "shape", F.col("edge_start") + F.col("b_edge")).when(F.col("kind") == "face", F.col("edge_start") + F.col("b_faceEdge")).when(F.col("kind") == "vertex", F.col("edge_start") + F.col("b_vertexEdge")),
+            "vertex_start": F.when(F.col("kind") == "edge", F.col("vertex_start") + F.col("b_edgeVertex")),
+        }).filter("id is not null")
+
+    named = based.filter("occ is not null")
+    shared = named.groupBy("occ").agg(F.count("*").alias("_n")).filter("_n > 1").select("occ").hint("merge")
+    again = rebased(named.join(shared, "occ", "left_semi")).drop("_first")
+    firsts = again.groupBy("kind", "id").agg(F.min("row").alias("_first")).hint("merge")
+    full = rebased(named.join(shared, "occ", "left_anti")).unionByName(again.join(firsts, ["kind", "id"]))
+    merged = place(full).withColumn("first", F.col("row") == F.col("_first"))
     base = F.create_map(*[x for r in RELATIONS for x in (F.lit(r), F.col(f"b_{r}"))])[F.col("relation")]
     to = F.create_map(*[x for r, (_, k) in RELATIONS.items() for x in (F.lit(r), F.col(f"b_{k}"))])[F.col("relation")]
-    relations = flat.join(based.select("comp", "occ", *[f"b_{x}" for x in (*kinds, *RELATIONS)]), "comp").select("occ", "relation", (F.col("pos") + base).alias("pos"), (F.col("target") + to).alias("target"))
+    relations = based.select("comp", "occ", *[f"b_{x}" for x in (*kinds, *RELATIONS)]).join(flat.hint("merge"), "comp").select("occ", "relation", (F.col("pos") + base).alias("pos"), (F.col("target") + to).alias("target"))
     ranges = based.select("seq", "occ", *[x for k in ("shape", "face", "edge") for x in (F.col(f"b_{k}").alias(f"{k}_start"), F.col(f"all_{k}").alias(f"{k}_count"))])
     return merged, relations, ranges
 

@@ -100,3 +100,27 @@ def test_plane_functions(spark):
     assert first(plane.bulge_arc(*[F.lit(0.0)] * 2, *[F.lit(1.0)] * 2, F.lit(0.0))) is None
     assert first(plane.normal_path(F.lit("../../a/./b/.."))) == "a" and first(plane.base36(F.lit(0))) == "0"
     assert first(plane.polyline_length(F.array().cast("array<struct<x:double,y:double,z:double>>"))) == 0.0
+
+
+def test_merged_components_are_never_broadcast(spark, sf):
+    from lithos.plans import topology as plans
+
+    for part in topology.merge_assembly(plans.occurrences(spark, sf), plans.entities(spark, sf), plans.relations(spark, sf)):
+        joins = [x for x in part._jdf.queryExecution().executedPlan().toString().splitlines() if "Broadcast" in x and "Join" in x]
+        assert joins and all("[_p#" in x for x in joins)  # only the totals of partitions
+
+
+def test_equal_ids_of_an_assembly(spark, sf):
+    """Against all rows of an id: names borne twice within a component, and occurrences of one name."""
+    from lithos.plans import topology as plans
+
+    twice = F.when((F.col("kind") == "edge") & (F.col("row") % 3 == 1), F.col("ordinal") - 1).otherwise(F.col("ordinal"))
+    e = plans.entities(spark, sf).filter("comp between 1 and 3").withColumn("ordinal", twice)
+    occ = spark.createDataFrame([(9, "o1.1", 1), (1, "o1.2", 2), (5, "o1.1", 3), (7, "o1.1", 1), (3, "o1.1.f1", 1), (2, None, 1)], "seq long, occ string, comp long")
+    occ = occ.withColumn("transform", F.array(*[F.lit(float(x % 5 == 0)) for x in range(16)]))
+    rows = topology.merge_assembly(occ, e, plans.relations(spark, sf).filter("comp between 1 and 3"))[0].select("kind", "id", "row", "first").collect()
+    least = {}
+    for r in rows:
+        least[r.kind, r.id] = min(r.row, least.get((r.kind, r.id), r.row))
+    assert len(rows) == 5 * 27 and sum(not r.first for r in rows) == 2 * 27 + 3 * 4
+    assert all(r.first == (r.row == least[r.kind, r.id]) for r in rows)
