@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,11 +28,20 @@ def drop_repeats(items: Column) -> Column:
     return F.filter(items, lambda x, i: (i == 0) | ~x.eqNullSafe(F.get(items, i - 1)))
 
 
+def decimate_by(n: Column, at: Callable[[Column], Column], most: int) -> Column:
+    """At most ``most`` of ``n`` elements (two at least), evenly spaced, both ends kept; ``at`` gives the element of a place from 0.
+
+    Only the kept places are asked for, so elements that follow from their place need no list. Null for null.
+    """
+    n = n.cast("long")
+    places = F.slice(F.sequence(F.lit(0).cast("long"), F.lit(most - 1).cast("long")), F.lit(1), F.least(n, F.lit(most)).cast("int"))
+    return F.when(n.isNotNull(), F.transform(places, lambda k: at(F.when(n <= most, k).otherwise(F.floor(k * (n - 1) / (most - 1) + 0.5)))))
+
+
 def decimate(items: Column, most: int) -> Column:
-    """At most ``most`` elements (two at least), evenly spaced, both ends kept."""
-    n = F.size(items)
-    picked = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.get(items, F.floor(k * (n - 1) / (most - 1) + 0.5).cast("int")))
-    return F.when(n <= most, items).otherwise(picked)
+    """``decimate_by`` of a list, which is evaluated once; null for null."""
+    kept = lambda x: F.when(F.size(x) <= most, x).otherwise(decimate_by(F.size(x), lambda i: F.get(x, i.cast("int")), most))
+    return F.get(F.transform(F.array(items), kept), F.lit(0))
 
 
 def segment_distance(p: tuple[Column, ...], a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:

@@ -124,3 +124,21 @@ def test_equal_ids_of_an_assembly(spark, sf):
         least[r.kind, r.id] = min(r.row, least.get((r.kind, r.id), r.row))
     assert len(rows) == 5 * 27 and sum(not r.first for r in rows) == 2 * 27 + 3 * 4
     assert all(r.first == (r.row == least[r.kind, r.id]) for r in rows)
+
+
+def test_decimation_asks_only_for_kept_places(spark, tmp_path):
+    from lithos.registry import QUERIES
+
+    keys = [0, 1, 22, 10**12]  # a list up to the last would be beyond any row
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    got = {tuple(r) for r in QUERIES["decimated"](spark, str(tmp_path)).collect()}
+    assert got == {(k, 5, 1, k + 20, 1 + (k + 20) // 2) for k in keys}
+
+
+def test_decimation_of_lists(spark):
+    """Lists and places agree; short, empty and missing lists."""
+    lists = spark.createDataFrame([(list(range(n)),) for n in range(30)] + [(None,)], "l array<int>")
+    for most in (2, 3, 7):
+        for r in lists.select("l", plane.decimate(F.col("l"), most).alias("a"), plane.decimate_by(F.size("l"), lambda i: i, most).alias("b")).collect():
+            n = len(r.l or [])
+            assert r.a == r.b == (r.l if r.l is None or n <= most else [math.floor(k * (n - 1) / (most - 1) + 0.5) for k in range(most)])
