@@ -33,6 +33,11 @@ def array(p: v.Vec) -> Column:
     return F.when(p[0].isNotNull() & p[1].isNotNull() & p[2].isNotNull(), F.array(*p))
 
 
+def array_once(p: v.Vec) -> Column:
+    """``array`` for long expressions: each is evaluated once, and not in one method with the rest of the row, which the JVM would leave uncompiled."""
+    return F.get(F.transform(F.array(F.array(*p)), lambda a: F.when(~F.exists(a, lambda x: x.isNull()), a)), F.lit(0))
+
+
 def table_rows(manifests: DataFrame, rows: str, columns: str, doc: str = "manifest") -> DataFrame:
     """Rows of one table of JSON manifests, as ``(*others, row, values)``: a map by the declared column names.
 
@@ -86,12 +91,12 @@ def place(rows: DataFrame, matrix: str = "transform") -> DataFrame:
     """Entities moved by a 4x4 matrix (16 numbers by row): points, directions, boxes by their corners; what cannot be placed is null."""
     m = [F.get(F.col(matrix), i) for i in range(16)]
     m[12:] = [F.lit(x) for x in (0.0, 0.0, 0.0, 1.0)]
-    point = lambda c: array(v.apply_point(m, three(c)))
-    way = lambda c: array(v.apply_direction(m, three(c)))
+    point = lambda c: array_once(v.apply_point(m, three(c)))
+    way = lambda c: array_once(v.apply_direction(m, three(c)))
     lo, hi = v.apply_box(m, three("lo"), three("hi"))
     p = F.col("params")
     params = F.struct(point(p["origin"]).alias("origin"), point(p["center"]).alias("center"), way(p["axis"]).alias("axis"), way(p["direction"]).alias("direction"), p["radius"].alias("radius"))
-    return rows.withColumns({"center": point("center"), "normal": way("normal"), "lo": array(lo), "hi": array(hi), "params": F.when(p.isNotNull(), params)})
+    return rows.withColumns({"center": point("center"), "normal": way("normal"), "lo": array_once(lo), "hi": array_once(hi), "params": F.when(p.isNotNull(), params)})
 
 
 def entity_name(local: Column, letter: Column, ordinal: Column) -> Column:
